@@ -7,6 +7,10 @@ import importlib
 #: module -> (query function, name of its SQL or None)
 _MODULES = {
     "url_filter": ("op1_url_filter", "OP1_SQL"),
+    "quality": ("op3_quality_rules", None),
+    "mixing": ("op4_mixing", "OP4_SQL"),
+    "exact_dedup": ("op6_exact_dedup", "OP6_SQL"),
+    "pii": ("op7_pii", None),
     "html_extract": ("op10_html_extraction", None),
 }
 
