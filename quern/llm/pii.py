@@ -108,8 +108,8 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def _context_words(text: Column, span: Column) -> Column:
-    """Words near a span with their places; a word cut by the context's end isn't one."""
+def _context(text: Column, span: Column) -> Column:
+    """Entity, hash of its context, and the words near it with their places; a word cut by the context's end isn't one."""
     left_at = F.greatest(F.lit(0), span["s"] - CONTEXT_CHARS)
     left = F.substring(text, left_at + 1, span["s"] - left_at)
     right = F.substring(text, span["e"] + 1, F.lit(CONTEXT_CHARS))
@@ -117,7 +117,8 @@ def _context_words(text: Column, span: Column) -> Column:
     far = F.filter(located(right, WORD_CLASS, "term"), lambda w: (w["s"] > 0) & (w["e"] < CONTEXT_CHARS))
     place = lambda words, at: F.transform(words, lambda w: F.struct(_term(w["v"]).alias("term"), (w["s"] + at).alias("s"), (w["e"] + at).alias("e")))
     words = F.concat(place(near, left_at), place(far, span["e"]))
-    return F.filter(words, lambda w: w["term"].rlike(r"\p{L}{2}") & ~w["term"].rlike("[0-9@]"))
+    words = F.filter(words, lambda w: w["term"].rlike(r"\p{L}{2}") & ~w["term"].rlike("[0-9@]"))
+    return F.struct(F.concat_ws(":", span["kind"], span["v"]).alias("entity"), F.xxhash64(left, right).alias("context"), words.alias("words"))
 
 
 def _term(word: Column) -> Column:
@@ -127,11 +128,10 @@ def _term(word: Column) -> Column:
 def disclosing_terms(spark: SparkSession, df: DataFrame, entities: DataFrame, text_col: str) -> DataFrame:
     """(entity, term, contexts, conditional, bits) beyond the thresholds.
 
-    ``entities`` has rows of (row_no, entity, words). Equal contexts (copied passages) count
+    ``entities`` has rows of (row_no, entity, context, words). Equal contexts (copied passages) count
     once; counts of terms cover every document.
     """
-    context = F.xxhash64(F.array_join(F.transform("words", lambda w: w["term"]), " "))
-    seen = entities.select("entity", context.alias("context"), F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).distinct()
+    seen = entities.select("entity", "context", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).distinct()
     pairs = stage(spark, seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS), "pii-pairs")
     terms = stage(spark, pairs.select("term").distinct(), "pii-terms")
     n_terms = terms.count()
@@ -143,7 +143,7 @@ def disclosing_terms(spark: SparkSession, df: DataFrame, entities: DataFrame, te
     words = df.select(F.array_distinct(F.transform(raw, _term)).alias("words")).select(F.explode("words").alias("term"))
     holding = words.join(side, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
     n_docs = df.count()
-    per_entity = entities.select("entity", context.alias("context")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    per_entity = entities.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     rated = pairs.join(holding, "term").join(per_entity, "entity")
     conditional = F.col("contexts") / F.greatest("documents", "contexts")
     bits = F.log2(F.lit(float(n_docs)) * F.col("contexts") / (F.greatest("documents", "contexts") * F.col("of_entity")))
@@ -159,10 +159,10 @@ def find_pii(spark: SparkSession, df: DataFrame, text_col: str = "text", id_col:
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    near = F.transform("base", lambda x: F.struct(F.concat_ws(":", x["kind"], x["v"]).alias("entity"), _context_words(F.col("text"), x).alias("words")))
+    near = F.transform("base", lambda x: _context(F.col("text"), x))
     near = F.when(F.size("base") > 0, near)
     base = stage(spark, found.select("doc_id", F.monotonically_increasing_id().alias("row_no"), "base", near.alias("near")), "pii-base")
-    entities = base.where("near is not null").select("row_no", F.explode("near").alias("x")).select("row_no", "x.entity", "x.words")
+    entities = base.where("near is not null").select("row_no", F.explode("near").alias("x")).select("row_no", "x.entity", "x.context", "x.words")
     disclosed = stage(spark, disclosing_terms(spark, rows, entities, "text"), "pii-terms")
     marked = entities.select("row_no", "entity", F.explode("words").alias("w")).select("row_no", "entity", "w.term", "w.s", "w.e")
     marked = marked.join(disclosed, ["entity", "term"]).select("row_no", F.struct(F.lit("term").alias("kind"), "s", "e", F.col("term").alias("v")).alias("span"))

@@ -7,10 +7,14 @@ import importlib
 #: module -> (query function, name of its SQL or None)
 _MODULES = {
     "url_filter": ("op1_url_filter", "OP1_SQL"),
+    "suffix_dedup": ("op2_suffix_dedup", None),
     "quality": ("op3_quality_rules", None),
     "mixing": ("op4_mixing", "OP4_SQL"),
+    "minhash": ("op5_minhash", "OP5_SQL"),
     "exact_dedup": ("op6_exact_dedup", "OP6_SQL"),
     "pii": ("op7_pii", None),
+    "passages": ("op8_passages", "OP8_SQL"),
+    "packing": ("op9_packing", None),
     "html_extract": ("op10_html_extraction", None),
 }
 
