@@ -8,9 +8,12 @@ stop early; long texts stop after the first level or two.
 Documents with equal sets are one node from the start. 32 bands of 4 rows make candidates:
 a pair at the threshold is missed with probability (1 - 0.75^4)^32, about 5e-6. In each
 bucket every member is compared with the bucket's smallest; links that hold on the full sets
-are grouped. A second pass compares, in buckets whose members aren't one group by then,
-members of different groups only, so that no link between groups is lost and a large group
-costs a comparison per member, not one per pair.
+are grouped. A second pass looks, in buckets whose members aren't one group by then, for
+links between groups: shingles are ordered from rare to frequent, and two sets are compared
+only if they share one so early that the overlap they need can still follow. That loses no
+link; copies edited beyond the threshold, and texts that share a passage, have rare shingles
+of their own in those places, so a large group costs a comparison per member, not one per
+pair.
 """
 
 from __future__ import annotations
@@ -147,6 +150,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(id, n, head) of each set that may link at all: its size, and its rarest shingles with their places.
+
+    Shingles are ordered by the number of sets that hold them, then by value. An overlap of
+    ``needed`` has its first shingle at place ``n - needed`` or before in either set, and
+    needed is at least ``threshold`` percent of n, so only the places up to there are told.
+    Shingles that no other id holds come first and can't be shared; they only take places.
+    """
+    rows = sets.select("row_no", "id", F.explode("shingles").alias("s"))
+    # grouped with a second column, joined without it: the join gets exchanges of its own
+    shared = rows.groupBy("s", F.pmod("s", F.lit(3)).alias("third")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("held")).where("low < high").select("s", "held")
+    ordered = rows.join(shared, "s").groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("held", "s"))).alias("common"))
+    n, common = F.size("shingles"), F.size("common")
+    whole = sets.join(ordered, "row_no").select("id", n.alias("n"), (n - common).alias("alone"), "common")
+    told = F.col("n") - F.ceil(F.col("n") * threshold / 100).cast("int") + 1 - F.col("alone")
+    head = F.transform(F.slice("common", F.lit(1), F.greatest(told, F.lit(0))), lambda x, k: F.struct((k + F.col("alone")).alias("place"), x["s"].alias("s")))
+    return whole.where(told > 0).select("id", F.col("n").cast("long").alias("n"), head.alias("head"))
+
+
 def near_duplicates(
     spark: SparkSession,
     df: DataFrame,
@@ -180,7 +202,7 @@ def near_duplicates(
 
     ids = stage(spark, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "minhash-ids")
     sets = only_ids(texts, ids).mapInArrow(_set_maker(shingle), _SETS)
-    sets = stage(spark, sets, "minhash-sets")
+    sets = stage(spark, sets.withColumn("row_no", F.monotonically_increasing_id()), "minhash-sets")
     links = stage(spark, _verified(pairs, sets, threshold), "minhash-links")
     groups = stage(spark, connected_components(spark, links), "minhash-groups")
 
@@ -190,9 +212,17 @@ def near_duplicates(
     grouped = members.join(of_node, "node", "left").join(of_lead, "lead", "left")
     grouped = grouped.select("bucket", "lead", "node", F.coalesce("group", "node").alias("group"), F.coalesce("lead_group", "lead").alias("lead_group"))
     grouped = stage(spark, grouped, "minhash-grouped")
-    apart = grouped.where("group <> lead_group").select("bucket", F.col("node").alias("x"), F.col("group").alias("gx"))
-    others = grouped.where("node <> lead").select("bucket", F.col("node").alias("y"), F.col("group").alias("gy"))
-    rest = apart.join(others, "bucket").where("gx <> gy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    apart = grouped.where("group <> lead_group")
+    unsettled = grouped.join(apart.select("bucket").distinct(), "bucket", "left_semi").select(F.col("node").alias("id"), "group").distinct()
+    unsettled = stage(spark, unsettled, "minhash-unsettled")
+    heads = stage(spark, _prefixes(sets.join(unsettled.select("id"), "id", "left_semi"), threshold), "minhash-heads")
+    heads = heads.join(unsettled, "id").select("id", "group", "n", F.inline("head"))
+    x = heads.join(apart.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("s", F.col("id").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    y = heads.select("s", F.col("id").alias("y"), F.col("group").alias("gy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    # what both hold from their places on must reach threshold/(100 + threshold) of both sizes
+    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    possible = ((100 + threshold) * left >= threshold * (F.col("nx") + F.col("ny"))) & (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
+    rest = x.join(y, "s").where((F.col("gx") != F.col("gy")) & possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = stage(spark, rest.join(pairs, ["a", "b"], "left_anti"), "minhash-rest")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, sets, threshold))
