@@ -55,12 +55,25 @@ def search(index: SearchIndex, query: Query, top_n: int, strict: bool = False, s
 
 
 def search_many(index: SearchIndex, queries: dict[str, Query], top_n: int) -> DataFrame:
-    """(query, rank, doc_id, score) for a batch: statistics in one lookup, all queries in one job."""
+    """(query, rank, doc_id, score) for a batch: statistics in one lookup, all queries in one job.
+
+    Term and Boolean queries share one scan of the postings; others add their own matches.
+    """
     rewritten = {name: rewrite(index, q) for name, q in queries.items()}
     compiler = Compiler.of(index, *rewritten.values())
-    out = None
-    for name, q in rewritten.items():
-        found = index.live(compiler.matches(q)).select("doc_id", F.round("score", DIGITS).alias("score"))
-        part = ranked(found, top_n).select(F.lit(name).alias("query"), "rank", "doc_id", "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = list(rewritten)
+    together = [n for n in names if compiler.batchable(rewritten[n])]
+    spark = index.docs.sparkSession
+    found = None
+    if together:
+        named = F.broadcast(spark.createDataFrame(list(enumerate(together)), "query_no int, query string"))
+        found = compiler.batch([rewritten[n] for n in together]).join(named, "query_no").select("query", "doc_id", "score")
+    for name in names:
+        if name not in together:
+            part = compiler.matches(rewritten[name]).select(F.lit(name).alias("query"), "doc_id", "score")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query string, rank int, doc_id long, score double")
+    scored = index.live(found).select("query", "doc_id", F.round("score", DIGITS).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("doc_id")))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= top_n).select("query", "rank", "doc_id", "score")

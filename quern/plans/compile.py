@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scoring import idf, query_norm
-from quern.plans.query import MUST, MUST_NOT, SHOULD, Boolean, ConstantScore, MatchAll, MultiTerm, NumericRange, Phrase, Prefix, Query, Term, TermRange, UnsupportedQuery
+from quern.plans.query import MUST, MUST_NOT, SHOULD, Boolean, Clause, ConstantScore, MatchAll, MultiTerm, NumericRange, Phrase, Prefix, Query, Term, TermRange, UnsupportedQuery
 from quern.plans.rewrite import term_predicate, unscored
 from quern.sources.index import SearchIndex
 
@@ -130,6 +130,38 @@ class Compiler:
         coord = F.lit(1.0) if query.disable_coord or most == 1 else (F.col("must") + F.col("should")) / F.lit(float(most))
         return held.select("doc_id", (F.col("total") * coord).alias("score"))
 
+    @staticmethod
+    def batchable(query: Query) -> bool:
+        """Scored terms and Booleans of terms: these share one scan."""
+        return isinstance(query, Term) or (isinstance(query, Boolean) and bool(query.clauses) and all(isinstance(c.query, Term) for c in query.clauses))
+
+    def batch(self, queries: list[Query]) -> DataFrame:
+        """(query_no, doc_id, score) of batchable queries: one scan of the postings and one aggregation for all of them.
+
+        The clauses and what each query requires are tables of one row per clause and query of the request.
+        """
+        spark = self.index.postings.sparkSession
+        clauses, asked = [], []
+        for number, query in enumerate(queries):
+            own = Boolean((Clause(MUST, query),)) if isinstance(query, Term) else query
+            factor = query_norm(self._squares(own)) * own.boost
+            most = sum(c.occur != MUST_NOT for c in own.clauses)
+            asked.append((number, sum(c.occur == MUST for c in own.clauses), own.min_should_match, 1.0 if own.disable_coord or most == 1 else float(most), own.disable_coord or most == 1))
+            for c in own.clauses:
+                weight = 0.0 if c.occur == MUST_NOT else self._idf(c.query) ** 2 * c.query.boost * factor
+                if self.doc_freq.get((c.query.field, c.query.text)):
+                    clauses.append((c.query.field, c.query.text, number, c.occur, weight, c.query.docs_only))
+        side = spark.createDataFrame(clauses, "field string, term string, query_no int, occur string, weight double, docs_only boolean")
+        held = spark.createDataFrame(asked, "query_no int, required int, least int, most double, flat boolean")
+        wanted = self.index.postings.where(F.col("field").isin(sorted({c[0] for c in clauses})) & F.col("term").isin(sorted({c[1] for c in clauses})))
+        tf = F.when(F.col("docs_only"), 1.0).otherwise(F.sqrt("tf"))
+        rows = wanted.join(F.broadcast(side), ["field", "term"]).select("query_no", "doc_id", "occur", (tf * F.col("weight") * F.col("norm")).alias("score"))
+        count = lambda occur: F.sum(F.when(F.col("occur") == occur, 1).otherwise(0))
+        summed = rows.groupBy("query_no", "doc_id").agg(F.sum("score").alias("total"), count(MUST).alias("must"), count(SHOULD).alias("should"), count(MUST_NOT).alias("prohibited"))
+        matched = F.col("must") + F.col("should")
+        kept = summed.join(F.broadcast(held), "query_no").where((F.col("must") == F.col("required")) & (F.col("prohibited") == 0) & (matched > 0) & (F.col("should") >= F.col("least")))
+        return kept.select("query_no", "doc_id", (F.col("total") * F.when(F.col("flat"), 1.0).otherwise(matched / F.col("most"))).alias("score"))
+
     def _term_clauses(self, name: str, group: list, factor: float) -> DataFrame:
         """A row per clause and document that holds its term: one scan of the postings for all clauses of a field."""
         by_term: dict[str, list[Column]] = {}
