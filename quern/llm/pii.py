@@ -1,11 +1,13 @@
 """Personal data: patterns, and information-theoretic sanitisation; DataFrame and SQL functions only.
 
-Patterns find the protected entities (e-mail, ip, card, phone). Words around an entity may
+Patterns find the protected entities (e-mail, ip, card, phone). Words of its text may
 give it away even when it is masked. How strongly a term reveals an entity is estimated
-over all documents: the term's contexts that hold the entity against the documents that
-hold the term at all, ``P(entity | term)``, and the pointwise mutual information in bits.
-Terms beyond both thresholds, seen in enough different contexts of the entity, are spans of
-kind ``term`` in the contexts of that entity, and are removed with it.
+over all distinct texts: those that hold both against those that hold the term at all,
+``P(entity | term)``, and the pointwise mutual information in bits. Terms beyond both
+thresholds, seen with enough different contexts of the entity, are spans of kind ``term``
+wherever they stand in a text with that entity, and are removed with it. Copies of a text
+count once on both sides. Each text gives an entity one context (the least by hash of those
+it has), so that neither one text nor copies of one passage are enough by themselves.
 
 Positions come from ``split`` and ``regexp_extract_all`` with one pattern: the running sum
 of the lengths of pieces and matches. The patterns use possessive repeats and a look-behind
@@ -29,13 +31,15 @@ PATTERNS = {
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 IP_VALID = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
-#: Characters on each side of an entity that count as its context.
+#: Characters on each side of an entity that tell its contexts apart.
 CONTEXT_CHARS = 100
 MIN_CONTEXTS = 3
 MIN_CONDITIONAL = 0.5
 MIN_BITS = 3.0
-#: Candidate terms are broadcast up to this many rows; more meet the words in a shuffled join.
+#: Candidate terms, and texts that hold entities, are broadcast up to this many rows; more meet the words in a shuffled join.
 BROADCAST_TERMS = 100_000
+#: So are the hashes of texts that have copies, of 16 bytes a row.
+BROADCAST_COPIED = 1_000_000
 _CHUNK = 256
 SPAN = "array<struct<kind:string,s:int,e:int,v:string>>"
 
@@ -109,44 +113,63 @@ def base_spans(text: Column) -> Column:
 
 
 def _context(text: Column, span: Column) -> Column:
-    """Entity, hash of its context, and the words near it with their places; a word cut by the context's end isn't one."""
+    """Entity and hash of its context."""
     left_at = F.greatest(F.lit(0), span["s"] - CONTEXT_CHARS)
     left = F.substring(text, left_at + 1, span["s"] - left_at)
     right = F.substring(text, span["e"] + 1, F.lit(CONTEXT_CHARS))
-    near = F.filter(located(left, WORD_CLASS, "term"), lambda w: ((w["s"] > 0) | (left_at == 0)) & (w["e"] < F.length(left)))
-    far = F.filter(located(right, WORD_CLASS, "term"), lambda w: (w["s"] > 0) & (w["e"] < CONTEXT_CHARS))
-    place = lambda words, at: F.transform(words, lambda w: F.struct(_term(w["v"]).alias("term"), (w["s"] + at).alias("s"), (w["e"] + at).alias("e")))
-    words = F.concat(place(near, left_at), place(far, span["e"]))
-    words = F.filter(words, lambda w: w["term"].rlike(r"\p{L}{2}") & ~w["term"].rlike("[0-9@]"))
-    return F.struct(F.concat_ws(":", span["kind"], span["v"]).alias("entity"), F.xxhash64(left, right).alias("context"), words.alias("words"))
+    return F.struct(F.concat_ws(":", span["kind"], span["v"]).alias("entity"), F.xxhash64(left, right).alias("context"))
 
 
 def _term(word: Column) -> Column:
     return ascii_lower(F.regexp_replace(word, r"^[^\p{L}]+|[^\p{L}]+$", ""))
 
 
-def disclosing_terms(spark: SparkSession, df: DataFrame, entities: DataFrame, text_col: str) -> DataFrame:
+def _is_term(term: Column) -> Column:
+    return term.rlike(r"\p{L}{2}") & ~term.rlike("[0-9@]")
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    words = F.array_distinct(F.split(text, f"{SPACE_CLASS}+"))
+    return F.array_distinct(F.filter(F.transform(words, _term), _is_term))
+
+
+def _side(few: DataFrame, bound: int = BROADCAST_TERMS) -> DataFrame:
+    """``few`` (staged), broadcast if it has no more rows than ``bound``."""
+    return F.broadcast(few) if few.count() <= bound else few
+
+
+def disclosing_terms(spark: SparkSession, texts: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, term, contexts, conditional, bits) beyond the thresholds.
 
-    ``entities`` has rows of (row_no, entity, context, words). Equal contexts (copied passages) count
-    once; counts of terms cover every document.
+    ``texts`` has rows of (doc, text), ``entities`` of (doc, entity, context) with one row for each
+    entity of a doc. A doc is a distinct text, so copies count once wherever docs are counted: those
+    that hold the term and the entity, the term, the entity, and all.
     """
-    seen = entities.select("entity", "context", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).distinct()
-    pairs = stage(spark, seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS), "pii-pairs")
-    terms = stage(spark, pairs.select("term").distinct(), "pii-terms")
-    n_terms = terms.count()
     empty = "entity string, term string, contexts long, conditional double, bits double"
-    if n_terms == 0:
+    # a term has no more contexts of an entity than the entity has: others are left out before words are met
+    often = entities.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_CONTEXTS)
+    often = stage(spark, entities.join(often.select("entity"), "entity", "left_semi"), "pii-often")
+    docs = stage(spark, often.select("doc").distinct(), "pii-docs")
+    if docs.isEmpty():
+        return spark.createDataFrame([], empty)
+    words = texts.join(_side(docs), "doc", "left_semi").select("doc", F.explode(_terms(F.col("text"))).alias("term")).distinct()
+    pairs = words.join(often, "doc").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"), F.count_distinct("context").alias("contexts"))
+    pairs = stage(spark, pairs.where(F.col("contexts") >= MIN_CONTEXTS), "pii-pairs")
+    terms = stage(spark, pairs.select("term").distinct(), "pii-terms")
+    if terms.isEmpty():
         return spark.createDataFrame([], empty)
-    side = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    raw = F.array_distinct(F.split(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE_CLASS}+"))
-    words = df.select(F.array_distinct(F.transform(raw, _term)).alias("words")).select(F.explode("words").alias("term"))
-    holding = words.join(side, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-    n_docs = df.count()
-    per_entity = entities.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    # all copies of a text hold the same terms: of the rows with m copies that hold a term, each m are one doc
+    counted = stage(spark, texts.groupBy("doc").agg(F.count(F.lit(1)).alias("m")), "pii-counted")
+    copied = _side(counted.where("m > 1"), BROADCAST_COPIED)
+    rows = texts.join(copied, "doc", "left").select(F.coalesce("m", F.lit(1)).alias("m"), F.explode(_terms(F.col("text"))).alias("term"))
+    held = rows.join(_side(terms), "term", "left_semi").groupBy("term", "m").agg(F.count(F.lit(1)).alias("n"))
+    holding = held.groupBy("term").agg(F.sum(F.expr("n div m")).alias("documents"))
+    n_docs = counted.count()
+    per_entity = often.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     rated = pairs.join(holding, "term").join(per_entity, "entity")
-    conditional = F.col("contexts") / F.greatest("documents", "contexts")
-    bits = F.log2(F.lit(float(n_docs)) * F.col("contexts") / (F.greatest("documents", "contexts") * F.col("of_entity")))
+    conditional = F.col("together") / F.col("documents")
+    bits = F.log2(F.lit(float(n_docs)) * F.col("together") / (F.col("documents") * F.col("of_entity")))
     rated = rated.select("entity", "term", "contexts", conditional.alias("conditional"), bits.alias("bits"))
     return rated.where((F.col("conditional") >= MIN_CONDITIONAL) & (F.col("bits") >= MIN_BITS))
 
@@ -158,17 +181,24 @@ def find_pii(spark: SparkSession, df: DataFrame, text_col: str = "text", id_col:
     table gives an empty table. Other columns of ``df`` are not looked at.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = rows.select(F.xxhash64("text").alias("doc"), "text")
     found = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
     near = F.transform("base", lambda x: _context(F.col("text"), x))
     near = F.when(F.size("base") > 0, near)
-    base = stage(spark, found.select("doc_id", F.monotonically_increasing_id().alias("row_no"), "base", near.alias("near")), "pii-base")
-    entities = base.where("near is not null").select("row_no", F.explode("near").alias("x")).select("row_no", "x.entity", "x.context", "x.words")
-    disclosed = stage(spark, disclosing_terms(spark, rows, entities, "text"), "pii-terms")
-    marked = entities.select("row_no", "entity", F.explode("words").alias("w")).select("row_no", "entity", "w.term", "w.s", "w.e")
-    marked = marked.join(disclosed, ["entity", "term"]).select("row_no", F.struct(F.lit("term").alias("kind"), "s", "e", F.col("term").alias("v")).alias("span"))
-    per_row = marked.groupBy("row_no").agg(F.sort_array(F.collect_set("span")).alias("added"))
-    out = base.drop("near").join(per_row, "row_no", "left")
-    return out.withColumn("added", F.coalesce("added", F.expr(f"cast(array() as {SPAN})")))
+    base = found.select("doc_id", F.monotonically_increasing_id().alias("row_no"), F.xxhash64("text").alias("doc"), "base", near.alias("near"))
+    base = stage(spark, base, "pii-base")
+    entities = base.where("near is not null").select("doc", F.explode("near").alias("x")).groupBy("doc", "x.entity").agg(F.min("x.context").alias("context"))
+    entities = stage(spark, entities, "pii-entities")
+    disclosed = stage(spark, disclosing_terms(spark, texts, entities), "pii-disclosed")
+    out, none = base.drop("near", "doc"), F.expr(f"cast(array() as {SPAN})")
+    if disclosed.isEmpty():
+        return out.withColumn("added", none)
+    told = stage(spark, entities.join(disclosed, "entity").groupBy("doc").agg(F.collect_set("term").alias("terms")), "pii-told")
+    word = lambda w: F.struct(w["kind"].alias("kind"), w["s"].alias("s"), w["e"].alias("e"), _term(w["v"]).alias("v"))
+    placed = F.filter(F.transform(located(F.col("text"), WORD_CLASS, "term"), word), lambda w: F.array_contains(F.col("terms"), w["v"]))
+    marked = texts.join(_side(told), "doc").select("doc", placed.alias("added")).groupBy("doc").agg(F.first("added").alias("added"))
+    out = base.drop("near").join(_side(stage(spark, marked, "pii-marked")), "doc", "left").drop("doc")
+    return out.withColumn("added", F.coalesce("added", none))
 
 
 def redacted(text: Column, spans: Column) -> Column:

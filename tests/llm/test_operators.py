@@ -226,6 +226,24 @@ def test_pii_terms_and_redaction(spark):
     assert df.select(pii.redacted(pii.F.col("text"), pii.F.col("spans")).alias("x")).first().x == "é <email>, <ip> x"
 
 
+def test_pii_terms_among_copies(spark):
+    """Copies sink no disclosing term and make none; a term far from the entity counts; both sides are in distinct texts."""
+    draw = random.Random(7)
+    telling = [f"Quixwort, quixwort {prose(draw, 9)} said {prose(draw, 60)} mail bob@site.org now {prose(draw, 30)}" for _ in range(3)]
+    copied = f"Zanthic said {prose(draw, 30)} mail ann@site.org now {prose(draw, 30)}"
+    passage = f"{prose(draw, 30)} mail eve@site.org now {prose(draw, 30)}"
+    texts = telling + telling[:1] * 200 + [copied] * 200 + [f"{''.join(draw.choices('ghjk', k=9))} morvane {passage}" for _ in range(5)]
+    texts += [f"{prose(draw, 20)} said mail now" for _ in range(60)]
+    # in 3 of 7 distinct texts with the entity, whatever the copies of one of the 3 say
+    half = [f"halfling {prose(draw, 40)} pat@site.org {prose(draw, 40)}" for _ in range(3)]
+    texts += half + half[:1] * 50 + [f"halfling {prose(draw, 20)}" for _ in range(4)]
+    found = {r.doc_id: r for r in pii.find_pii(spark, frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        want = ["quixwort", "quixwort"] if text.startswith("Quixwort") else []
+        assert [x.v for x in found[i].added] == want, text[:60]
+        assert all(text[x.s : x.e].lower().strip(",") == x.v for x in found[i].added)
+
+
 def _filled(sizes, share, cap, weights):
     keys = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {k: weights[i % len(weights)] for i, k in enumerate(keys)}
