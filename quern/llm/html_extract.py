@@ -7,6 +7,11 @@ kernel and the lines fall into two clusters at a threshold found by one-dimensio
 holds most of their text, or else the deepest container that does. All lines of that
 region that stand in no menu, header, footer, sidebar, notice, advert, form or comment
 section are the text: a short paragraph inside the region stays whatever its ratio.
+
+Menus, footers and asides are told by their tags, the other kinds by a list of words for
+class, id and role, and forms. The clusters overrule the list: an element marked by it, or
+a form, that holds most of the page's high text, with little dense text in the open beside
+it, is no boilerplate.
 """
 
 from __future__ import annotations
@@ -42,6 +47,17 @@ BOILER = frozenset(
     "navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus respond reply "
     "replies discussion social share sharing related recommended recommendations widget widgets skip contentinfo complementary search hidden".split()
 )
+#: Words that mark an ``article`` as another than the page's own.
+OTHER_ARTICLE = frozenset("comment comments related ad advert promo sponsored teaser".split())
+#: Words that may stand beside a listed one in a name: "comment-list" names comments, "has-sidebar" no sidebar.
+GENERIC = frozenset(
+    "area bar block box btn button buttons container form group heading icon icons inner item items left link links list main "
+    "outer page panel post posts right section site slot text title top bottom wrap wrapper".split()
+)
+#: Marks of what is prose as dense as the article: overruled only where no dense text stands in the open beside it.
+PROSE = frozenset("comment comments disqus respond reply replies discussion".split())
+#: Share of the page's high text that is most of it, here as for the region.
+MOST = 0.6
 HEADER = frozenset({"header", "masthead", "banner"})
 CONTAINER = frozenset("article main section div td body html blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,36 +65,44 @@ _SPACES = re.compile(r"\s+")
 _TOKENS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]+")
 
 
+def _listed(name: str) -> set[str]:
+    """The listed words of one class, id or role, if all of the name is listed or generic words."""
+    parts = {t.lower() for t in _TOKENS.findall(name)}
+    known = parts & (BOILER | HEADER | OTHER_ARTICLE)
+    return known if parts <= known | GENERIC else set()
+
+
 def _marks(attrs: list[tuple[str, str | None]]) -> tuple[set[str], bool]:
     words: set[str] = set()
     hidden = False
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            words.update(t.lower() for t in _TOKENS.findall(value))
+            for one in value.split():
+                words |= _listed(one)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
             hidden = True
     return words, hidden
 
 
 class _Lines(HTMLParser):
-    """Lines: [text, tags, containers, skipped, in heading]."""
+    """Lines: (text, tags, containers, marks (mark id, kind) from outside in, in a heading of an article)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list = []
-        self.open: list = []  # (tag, skipped, container id or 0)
+        self.open: list = []  # (tag, kind of mark or 0, container id or 0, mark id)
         self.buffer: list[str] = []
         self.tags = 0
         self.made = 0
         self.kinds: dict[int, str] = {}
+        self.marked = 0
+        self.doubtful: dict[int, bool] = {}  # ids of marks that the clusters may overrule; whether they name prose
 
     def flush(self):
         text = _SPACES.sub(" ", "".join(self.buffer)).strip()
         if text:
-            skipped = any(x[1] for x in self.open)
-            if skipped and any(x[0] in HEADINGS for x in self.open) and all(x[1] in (0, 2) for x in self.open) and any(x[0] == "article" for x in self.open):
-                skipped = False  # the headline in an article's own header
-            self.lines.append((text, self.tags, tuple(x[2] for x in self.open if x[2]), skipped))
+            headline = any(x[0] in HEADINGS for x in self.open) and any(x[0] == "article" for x in self.open)
+            self.lines.append((text, self.tags, tuple(x[2] for x in self.open if x[2]), tuple((x[3], x[1]) for x in self.open if x[1]), headline))
             self.tags = 0
         self.buffer.clear()
 
@@ -96,6 +120,8 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         skipped = 0
+        words: set[str] = set()
+        hidden = False
         if tag in SKIP:
             skipped = 1
         elif tag == "header":
@@ -108,14 +134,18 @@ class _Lines(HTMLParser):
                 skipped = 2
         elif tag in ("article",):
             words, hidden = _marks(attrs)
-            if hidden or words & {"comment", "comments", "related", "ad", "advert", "promo", "sponsored", "teaser"}:
+            if hidden or words & OTHER_ARTICLE:
                 skipped = 1
+        if skipped:
+            self.marked += 1
+            if tag == "form" or tag not in SKIP and tag != "header" and not hidden:
+                self.doubtful[self.marked] = bool(words & PROSE)
         ident = 0
         if tag in CONTAINER:
             self.made += 1
             ident = self.made
             self.kinds[ident] = tag
-        self.open.append((tag, skipped, ident))
+        self.open.append((tag, skipped, ident, self.marked))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -194,20 +224,57 @@ def cluster_threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def _skipped(line: tuple, overruled: set[int]) -> bool:
+    """Whether a line stands in a marked element; the headline in an article's own header doesn't count as marked."""
+    kinds = [kind for mark, kind in line[3] if mark not in overruled]
+    return bool(kinds) and not (line[4] and all(kind == 2 for kind in kinds))
+
+
+def _overruled(parser: _Lines, sigma: float) -> set[int]:
+    """The doubtful marks whose element holds most of the page's high text, from outside in.
+
+    Lines are clustered with the doubtful marks left aside. An element is boilerplate after all if more
+    than a third as much dense text (of half the threshold's ratio) stands in the open beside it, or any
+    if its words name readers' prose.
+    """
+    overruled: set[int] = set()
+    doubtful = set(parser.doubtful)
+    ratios = [0.0 if _skipped(x, doubtful) else len(x[0]) / max(1, x[1]) for x in parser.lines]
+    if not doubtful or not any(ratios):
+        return overruled
+    cut = cluster_threshold(smoothed := smooth(ratios, sigma))
+    high = [x for x, r, v in zip(parser.lines, ratios, smoothed) if v >= cut and r]
+    dense = [x for x, r in zip(parser.lines, ratios) if 2 * r >= cut and r]
+    total = sum(len(x[0]) for x in high)
+    mass: dict[int, int] = {}
+    for x in high:
+        for mark, _ in x[3]:
+            mass[mark] = mass.get(mark, 0) + len(x[0])
+    for mark in sorted(doubtful & mass.keys()):  # ids grow inwards
+        if mass[mark] < MOST * total:
+            continue
+        beside = sum(len(x[0]) for x in dense if not _skipped(x, overruled) and all(m != mark for m, _ in x[3]))
+        if not beside or not parser.doubtful[mark] and 3 * beside <= mass[mark]:
+            overruled.add(mark)
+    return overruled
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of one page, blocks joined by an empty line; empty if there is none."""
     if not html:
         return ""
     parser = parse_lines(html)
     lines = parser.lines
-    open_lines = [x for x in lines if not x[3]]
+    overruled = _overruled(parser, sigma)
+    skipped = [_skipped(x, overruled) for x in lines]
+    open_lines = [x for x, s in zip(lines, skipped) if not s]
     if not open_lines:
         return ""
-    ratios = [0.0 if x[3] else len(x[0]) / max(1, x[1]) for x in lines]
+    ratios = [0.0 if s else len(x[0]) / max(1, x[1]) for x, s in zip(lines, skipped)]
     cut = cluster_threshold(smoothed := smooth(ratios, sigma))
-    high = [x for x, v in zip(lines, smoothed) if v >= cut and not x[3]] or open_lines
+    high = [x for x, s, v in zip(lines, skipped, smoothed) if v >= cut and not s] or open_lines
     mass: dict[int, int] = {}
-    for text, _, containers, _ in high:
+    for text, _, containers, _, _ in high:
         for ident in containers:
             mass[ident] = mass.get(ident, 0) + len(text)
     total = sum(len(x[0]) for x in high)
@@ -219,7 +286,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
             break
     if not region:
         for ident in sorted(mass):  # ids grow inwards: the deepest that holds most of the high lines
-            if mass[ident] >= 0.6 * total:
+            if mass[ident] >= MOST * total:
                 region = ident
     return "\n\n".join(x[0] for x in open_lines if not region or region in x[2])
 

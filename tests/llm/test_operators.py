@@ -387,6 +387,30 @@ def test_html(shell):
     assert html_extract.main_text(PAGE % (shell % BODY)) == WANT
 
 
+@pytest.mark.parametrize(
+    "shell",
+    [
+        "<div class='content has-sidebar'>%s<div class='sidebar'><p>Side</p></div></div>",
+        "<div class='site no-sidebar'><div class='post social-ready'>%s</div></div>",
+        "<form action=/page.aspx>%s<div class='cookie-notice'>We use cookies</div></form>",
+        "<div class=widget>%s<div class='comment-list'><p>A remark.</p></div></div>",
+        "<div class=content-sidebar-wrap>%s<div class='share-buttons'>Share</div></div>",
+        "<div class=x>%s</div><form><label>Name</label><input></form>",
+        "<article>%s<article class=teaser><p>Read on</p></article></article>",
+    ],
+)
+def test_html_wrapper_named_like_boilerplate(shell):
+    lines = [f"Line {i} of the article, which goes on for a while, as prose does." for i in range(6)]
+    body = "".join(f"<p class='ad-free'>{x}</p>" for x in lines)
+    assert html_extract.main_text(f"<html><body><nav><a>Home</a></nav>{shell % body}<footer>me</footer></body></html>") == "\n\n".join(lines)
+
+
+def test_html_short_article_with_long_comments():
+    comments = "".join(f"<p>Reader {i} says that all of this is wrong and writes at length about why.</p>" for i in range(40))
+    page = f"<body><div class=post><p>The article is only this one line, though as long as the others.</p></div><div class=comments>{comments}</div></body>"
+    assert html_extract.main_text(page).startswith("The article is only") and "Reader" not in html_extract.main_text(page)
+
+
 def test_html_odd(spark):
     pages = [(1, None), (2, ""), (3, "plain text"), (4, "<![bad[ x <p>one<p>two"), (5, "<p>a<br>b</p>" * 3), (6, "<article><p>" + "x " * 50000), (1, None)]
     df = spark.createDataFrame([(i, h, "old") for i, h in pages], "page_id long, html string, text string")
