@@ -37,6 +37,8 @@ SKIP = frozenset(
     "script style noscript template head title nav footer aside form button select option textarea input dialog menu iframe "
     "object svg math canvas audio video datalist search".split()
 )
+#: Those of them whose text is never shown as prose, whatever stands around them: it makes no line.
+UNREAD = frozenset("script style noscript template title button select option textarea iframe object svg math canvas audio video datalist".split())
 #: Elements of which one is closed by the next start tag of the named ones.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"html", "body", "head", "title", "caption", "option", "optgroup", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -95,14 +97,16 @@ class _Lines(HTMLParser):
         self.tags = 0
         self.made = 0
         self.kinds: dict[int, str] = {}
+        self.unread: int | None = None  # place in open of the outermost element of UNREAD
         self.marked = 0
         self.doubtful: dict[int, bool] = {}  # ids of marks that the clusters may overrule; whether they name prose
 
     def flush(self):
         text = _SPACES.sub(" ", "".join(self.buffer)).strip()
         if text:
-            headline = any(x[0] in HEADINGS for x in self.open) and any(x[0] == "article" for x in self.open)
-            self.lines.append((text, self.tags, tuple(x[2] for x in self.open if x[2]), tuple((x[3], x[1]) for x in self.open if x[1]), headline))
+            around = self.open[: self.unread]  # nothing in the buffer is from inside an unread element
+            headline = any(x[0] in HEADINGS for x in around) and any(x[0] == "article" for x in around)
+            self.lines.append((text, self.tags, tuple(x[2] for x in around if x[2]), tuple((x[3], x[1]) for x in around if x[1]), headline))
             self.tags = 0
         self.buffer.clear()
 
@@ -110,7 +114,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.buffer.append(" ")
-        if tag in BLOCK:
+        if tag in BLOCK and self.unread is None:
             self.flush()
             if tag in CLOSES_P:
                 self._close({"p"}, BLOCK - {"p"})
@@ -145,10 +149,20 @@ class _Lines(HTMLParser):
             self.made += 1
             ident = self.made
             self.kinds[ident] = tag
+        if tag in UNREAD and self.unread is None:
+            self.unread = len(self.open)
         self.open.append((tag, skipped, ident, self.marked))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if tag in UNREAD:  # as in XHTML; left open it would take all that follows
+            self.open.pop()
+            self._settle()
+
+    def _settle(self):
+        """Find the outermost unread element again after elements were closed."""
+        if self.unread is not None:
+            self.unread = next((at for at, x in enumerate(self.open) if x[0] in UNREAD), None)
 
     def _close(self, tags: set[str], until):
         for at in range(len(self.open) - 1, -1, -1):
@@ -162,7 +176,7 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        if tag in BLOCK:
+        if tag in BLOCK and (self.unread is None or all(x[0] != tag for x in self.open[self.unread :])):
             self.flush()
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
@@ -170,12 +184,14 @@ class _Lines(HTMLParser):
                     del self.open[at:]
                 else:
                     del self.open[at]
+                self._settle()
                 return
-            if tag not in BLOCK and self.open[at][0] in BLOCK:
+            if tag not in BLOCK and tag not in UNREAD and self.open[at][0] in BLOCK:
                 return
 
     def handle_data(self, data):
-        self.buffer.append(data)
+        if self.unread is None:
+            self.buffer.append(data)
 
     def unknown_decl(self, data):
         pass

@@ -405,6 +405,22 @@ def test_html_wrapper_named_like_boilerplate(shell):
     assert html_extract.main_text(f"<html><body><nav><a>Home</a></nav>{shell % body}<footer>me</footer></body></html>") == "\n\n".join(lines)
 
 
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ("<p>one <button>Share</button></p><script>var a=1</script><p>two</p>", ["one", "two"]),
+        ("<p>one</p><style>p{color:red}</style>and<noscript><img src=x>Turn it on</noscript> more<p>two</p>", ["one", "and more", "two"]),
+        ("<p>one <select><option>A<option>B</select>or <textarea>t</textarea>two</p>three", ["one or two", "three"]),
+        ("<p>one <svg/>and <svg><path/><title>t</title></svg>two <button><div>Share</div></button>three</p><iframe src=x /><p>four", ["one and two three", "four"]),
+        ("<div>one <button><div>Share</div></div><p>two <video>no video</p>", ["one", "two"]),
+        (f"<p>one</p><script>{'x = 1; ' * 500}</script><p>two", ["one", "two"]),
+    ],
+)
+@pytest.mark.parametrize("shell", ["<article>%s</article>", "<div class=content>%s</div>"])
+def test_html_unread(shell, inner, want):
+    assert html_extract.main_text(f"<html><body>{shell % inner}</body></html>") == "\n\n".join(want)
+
+
 def test_html_short_article_with_long_comments():
     comments = "".join(f"<p>Reader {i} says that all of this is wrong and writes at length about why.</p>" for i in range(40))
     page = f"<body><div class=post><p>The article is only this one line, though as long as the others.</p></div><div class=comments>{comments}</div></body>"
