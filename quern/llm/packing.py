@@ -78,19 +78,21 @@ def _packer(capacity: int, by_source: bool):
 
 
 def pack_documents(
-    spark: SparkSession, df: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES, by_source: bool = True
+    spark: SparkSession, df: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES, by_source: bool = True, cluster_col: str | None = None
 ) -> DataFrame:
     """One row per piece: doc_id, piece, first_word, n_words, source, cluster, bin_id, bin_words.
 
     A bin holds at most ``capacity`` words, no two pieces of one source (unless ``by_source``
-    is off) and no two of one duplicate cluster (equal texts after white space is collapsed;
-    pieces of one document are of one cluster). Null and empty texts are one piece of 0 words
+    is off) and no two of one duplicate cluster. ``cluster_col`` names a whole-number column of clusters,
+    such as the component_id of near-duplicates, where null conflicts with nothing; without it
+    clusters are exact copies only (equal texts after white space is collapsed). Pieces of one
+    document are of one cluster. Null and empty texts are one piece of 0 words
     without a cluster; a null source is a source. Repeated rows are documents of their own.
     An empty table gives an empty table. Other columns of ``df`` are not looked at.
     """
-    norm = normalised(F.col("text"))
+    cluster = F.xxhash64(normalised(F.col("text"))) if cluster_col is None else F.col(cluster_col).cast("long")
     size = word_count(F.col("text"))
-    items = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(norm).alias("hash"))
+    items = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), cluster.alias("hash"))
     items = items.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "source", "size", F.when(F.col("size") > 0, F.col("hash")).alias("cluster"))
     items = stage(spark, items, "pack-items")
     last = F.greatest(F.ceil(F.col("size") / capacity).cast("int") - 1, F.lit(0))

@@ -335,6 +335,19 @@ def test_packing(spark):
     assert packing.pack_documents(spark, frame(spark, [])).count() == 0
 
 
+def test_packing_by_given_clusters(spark):
+    """Near copies of different sources share no bin if their cluster is given."""
+    draw = random.Random(10)
+    base = prose(draw, 20).split(" ")
+    rows = [(i, " ".join(base[:-1] + [f"edit{i}"]), f"s{i}") for i in range(4)] + [(i, prose(draw, 20), f"s{i}") for i in range(4, 8)] + [(8, "", "s8")]
+    docs = frame(spark, rows)
+    found = near_duplicates(spark, docs, shingle=2).select("doc_id", "component_id")
+    got = packing.pack_documents(spark, docs.join(found, "doc_id"), capacity=100, cluster_col="component_id").collect()
+    assert {r.doc_id: r.cluster for r in got} == {**dict.fromkeys(range(4), 0), 4: 4, 5: 5, 6: 6, 7: 7, 8: None}
+    assert len({r.bin_id for r in got if r.doc_id < 4}) == 4
+    assert len({r.bin_id for r in packing.pack_documents(spark, docs, capacity=100).collect() if r.doc_id < 8}) == 2
+
+
 URLS = [
     ("https://A.Example.COM/en/742?x", "a.example.com", "/en/742", "example.com/en/7", "allow"),
     ("http://x.com/en/8", "x.com", "/en/8", "com/en/", "block"),
