@@ -203,7 +203,10 @@ def near_duplicates(
     ids = stage(spark, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "minhash-ids")
     sets = only_ids(texts, ids).mapInArrow(_set_maker(shingle), _SETS)
     sets = stage(spark, sets.withColumn("row_no", F.monotonically_increasing_id()), "minhash-sets")
-    links = stage(spark, _verified(pairs, sets, threshold), "minhash-links")
+    # an id with different texts may be in several nodes; it links them
+    several = nodes.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("id")
+    own = only_ids(nodes.select("id", "node"), stage(spark, several, "minhash-several")).select(F.col("id").alias("a"), F.col("node").alias("b")).distinct()
+    links = stage(spark, _verified(pairs, sets, threshold).unionByName(own), "minhash-links")
     groups = stage(spark, connected_components(spark, links), "minhash-groups")
 
     # members of a bucket that its leader's group doesn't hold, against all of other groups

@@ -89,6 +89,15 @@ def test_near_duplicates_odd_rows(spark):
     assert drop_near_duplicates(spark, frame(spark, [])).columns == frame(spark, []).columns
 
 
+def test_near_duplicates_id_joins_groups(spark):
+    """An id with two texts, one a copy of a smaller id's, one near a larger id's or a copy of it, makes one group."""
+    draw = random.Random(12)
+    a, b, c = (prose(draw, 100) for _ in range(3))
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (9, b + " more", "s"), (20, c, "s"), (30, a + " more", "s"), (30, c, "s"), (40, prose(draw, 100), "s")]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates(spark, frame(spark, rows)).collect()}
+    assert got == {3: (3, True), 5: (3, False), 9: (3, False), 20: (3, False), 30: (3, False), 40: (40, True)}
+
+
 @pytest.mark.parametrize("window, period", [(50, None), (8, 3), (10, 7)])
 def test_passages(spark, window, period):
     docs = tangled()
