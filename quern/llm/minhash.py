@@ -8,12 +8,17 @@ stop early; long texts stop after the first level or two.
 Documents with equal sets are one node from the start. 32 bands of 4 rows make candidates:
 a pair at the threshold is missed with probability (1 - 0.75^4)^32, about 5e-6. In each
 bucket every member is compared with the bucket's smallest; links that hold on the full sets
-are grouped. A second pass looks, in buckets whose members aren't one group by then, for
-links between groups: shingles are ordered from rare to frequent, and two sets are compared
-only if they share one so early that the overlap they need can still follow. That loses no
-link; copies edited beyond the threshold, and texts that share a passage, have rare shingles
-of their own in those places, so a large group costs a comparison per member, not one per
-pair.
+are grouped. In buckets whose members aren't one group by then, members are dealt by hash
+into chunks and compared with their chunk's first, in ``ROUNDS`` deals: in a large group of
+texts around the threshold each member meets a member of many buckets, and what is linked at
+all is soon one group. A last pass settles the rest exactly. It looks for links between groups
+only, and on one side only for members that don't belong to their bucket's largest group:
+shingles are ordered from rare to frequent, and two sets are compared only if they share one
+so early that the overlap they need can still follow. That loses no link; copies edited beyond
+the threshold, and texts that share a passage, have rare shingles of their own in those
+places. Its candidates are the pairs between small groups and others of a bucket, so they
+grow with the square of a bucket only if its members are near the threshold and yet
+unlinked.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Ids of candidate documents are broadcast up to this many rows; more meet the texts in a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Deals of unsettled buckets into chunks of about so many members, before the last pass.
+ROUNDS, CHUNK = 2, 16
 
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=U64)
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -169,6 +176,15 @@ def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
     return whole.where(told > 0).select("id", F.col("n").cast("long").alias("n"), head.alias("head"))
 
 
+def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(bucket, node, group, main_group, held) of buckets with members of several groups: the largest group, and all members."""
+    of_node = groups.select("node", F.col("component").alias("group"))
+    grouped = members.select("bucket", "node").join(of_node, "node", "left").select("bucket", "node", F.coalesce("group", "node").alias("group"))
+    sizes = grouped.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+    sizes = sizes.agg(F.max(F.struct("n", "group")).alias("main"), F.sum("n").alias("held"), F.count(F.lit(1)).alias("n_groups")).where("n_groups > 1")
+    return grouped.join(sizes.select("bucket", F.col("main.group").alias("main_group"), "held"), "bucket")
+
+
 def near_duplicates(
     spark: SparkSession,
     df: DataFrame,
@@ -178,13 +194,15 @@ def near_duplicates(
     threshold: int = THRESHOLD,
     bands: int = BANDS,
     rows: int = ROWS,
+    seen: dict | None = None,
 ) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id, kept.
 
     Null and empty texts have the empty set and link with nothing. The id names a document:
     rows that repeat an id are one node, linked by any of their texts. A row with a null id links with nothing, has a null
     component and is kept. An empty table gives an empty table. Other columns of ``df`` are
-    not looked at.
+    not looked at. ``seen`` is told the numbers of pairs compared: with their bucket's first,
+    with the deals' as well, and in the last pass.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scan = stage(spark, texts.mapInArrow(_scanner(shingle, bands, rows), _SCAN), "minhash")
@@ -209,24 +227,40 @@ def near_duplicates(
     links = stage(spark, _verified(pairs, sets, threshold).unionByName(own), "minhash-links")
     groups = stage(spark, connected_components(spark, links), "minhash-groups")
 
-    # members of a bucket that its leader's group doesn't hold, against all of other groups
-    of_node = groups.select("node", F.col("component").alias("group"))
-    of_lead = groups.select(F.col("node").alias("lead"), F.col("component").alias("lead_group"))
-    grouped = members.join(of_node, "node", "left").join(of_lead, "lead", "left")
-    grouped = grouped.select("bucket", "lead", "node", F.coalesce("group", "node").alias("group"), F.coalesce("lead_group", "lead").alias("lead_group"))
-    grouped = stage(spark, grouped, "minhash-grouped")
-    apart = grouped.where("group <> lead_group")
-    unsettled = grouped.join(apart.select("bucket").distinct(), "bucket", "left_semi").select(F.col("node").alias("id"), "group").distinct()
-    unsettled = stage(spark, unsettled, "minhash-unsettled")
+    met = pairs
+    for deal in range(ROUNDS):
+        # members of unsettled buckets against the first, by hash, of their chunk
+        unsettled = stage(spark, _unsettled(members, groups), "minhash-unsettled")
+        if unsettled.isEmpty():
+            break
+        rank = F.xxhash64("node", "bucket", F.lit(deal))
+        dealt = unsettled.withColumns({"rank": rank, "chunk": F.pmod(F.xxhash64("node", F.lit(~deal)), F.ceil(F.col("held") / CHUNK))})
+        # grouped with the chunk, which no bucket has more of than held / CHUNK: small groups, each met by its own rows
+        first = dealt.groupBy("bucket", "chunk").agg(F.min(F.struct("rank", "node", "group")).alias("first"))
+        drawn = dealt.join(first, ["bucket", "chunk"]).where(F.col("group") != F.col("first.group"))
+        drawn = drawn.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
+        drawn = stage(spark, drawn.join(met, ["a", "b"], "left_anti"), "minhash-drawn")
+        if drawn.isEmpty():
+            continue
+        met = met.unionByName(drawn)
+        links = stage(spark, links.unionByName(_verified(drawn, sets, threshold)), "minhash-links")
+        groups = stage(spark, connected_components(spark, links), "minhash-groups")
+
+    # members outside their bucket's largest group, against all of other groups
+    grouped = stage(spark, _unsettled(members, groups), "minhash-grouped")
+    apart = grouped.where("group <> main_group").select(F.col("node").alias("id")).distinct()
+    unsettled = stage(spark, grouped.select(F.col("node").alias("id"), "group").distinct(), "minhash-unsettled")
     heads = stage(spark, _prefixes(sets.join(unsettled.select("id"), "id", "left_semi"), threshold), "minhash-heads")
     heads = heads.join(unsettled, "id").select("id", "group", "n", F.inline("head"))
-    x = heads.join(apart.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("s", F.col("id").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    x = heads.join(apart, "id", "left_semi").select("s", F.col("id").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"), F.col("place").alias("px"))
     y = heads.select("s", F.col("id").alias("y"), F.col("group").alias("gy"), F.col("n").alias("ny"), F.col("place").alias("py"))
     # what both hold from their places on must reach threshold/(100 + threshold) of both sizes
     left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     possible = ((100 + threshold) * left >= threshold * (F.col("nx") + F.col("ny"))) & (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
     rest = x.join(y, "s").where((F.col("gx") != F.col("gy")) & possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = stage(spark, rest.join(pairs, ["a", "b"], "left_anti"), "minhash-rest")
+    rest = stage(spark, rest.join(met, ["a", "b"], "left_anti"), "minhash-rest")
+    if seen is not None:
+        seen.update(first=pairs.count(), met=met.count(), rest=rest.count())
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, sets, threshold))
         groups = stage(spark, connected_components(spark, links), "minhash-groups")

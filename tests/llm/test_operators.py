@@ -491,3 +491,19 @@ def test_mixing_numbers_many_sources(spark):
     want = _filled(sizes, 1.5, 2.0, (3, 1, 2))
     assert {r.source: r.source_size for r in got} == sizes
     assert all(abs(r.target - want[r.source]) < 1e-6 for r in got)
+
+
+def test_near_duplicates_of_a_template(spark):
+    """Texts of one template whose pairs lie on both sides of the threshold: few of the pairs are compared, no link is lost."""
+    draw = random.Random(17)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(604)]
+    docs = {}
+    for i in range(300):
+        w = list(base)
+        for at in draw.sample(range(604), draw.randint(5, 15)):
+            w[at] = f"x{i}_{at}"
+        docs[i] = " ".join(w)
+    seen = {}
+    got = near_duplicates(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string"), seen=seen).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(docs)
+    assert seen["met"] + seen["rest"] < 0.4 * 300 * 299 / 2, seen
