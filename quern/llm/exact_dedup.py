@@ -5,6 +5,10 @@ one space. A first scan keeps of every row only its length and the hash of its p
 aggregation over (length, prefix hash) names the groups that survive, and only rows of
 those are hashed, and in ``drop_exact_duplicates`` moved, in full.
 
+Which rows survive is told by a bitmap over hashes of the surviving keys, of ``FILTER_BITS``
+bits whatever the table holds. It is the only thing that is broadcast; a row whose bit is
+clear passes without a shuffle, and the others meet the surviving keys themselves in a join.
+
 Groups of any size: counts and keepers are partial aggregates, so a group that holds a
 third of all rows sends one row per task. Joins back to the rows have an exchange of their
 own on both sides, which lets the adaptive skew join split a hot key.
@@ -18,8 +22,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import SPACE_CLASS, read_table, stage
 
 PREFIX_CHARS = 256
-#: Surviving (length, prefix hash) keys are broadcast up to this many rows of 16 bytes.
-BROADCAST_KEYS = 1_000_000
+#: Bits of the broadcast filter: 2048 rows of 4 KB. With more than some ten million surviving keys it lets
+#: more and more other rows into the join, which are told apart there.
+FILTER_BITS = 1 << 26
 
 
 def normalised(text: Column) -> Column:
@@ -71,30 +76,45 @@ def exact_duplicates(spark: SparkSession, df: DataFrame, text_col: str = "text",
     )
 
 
-def drop_exact_duplicates(spark: SparkSession, df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _filter(survivors: DataFrame, bits: int) -> DataFrame:
+    """(slot, bitmap) of the bits of all surviving keys; at most bits / 2^15 rows of 4 KB."""
+    bit = F.pmod("key", F.lit(bits))
+    return survivors.groupBy(F.bitmap_bucket_number(bit).alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
+
+
+def _is_set(bitmap: Column, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), place % 8)), F.lit(2)) == 1, F.lit(False))
+
+
+def drop_exact_duplicates(spark: SparkSession, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", filter_bits: int = FILTER_BITS) -> DataFrame:
     """The rows of ``df`` without later copies, all columns as they were.
 
-    Rows outside the surviving groups pass without a shuffle. Within them the row with the
-    smallest id stays (null ids last; equal ids: the row whose columns hash lowest).
+    Rows outside the surviving groups pass without a shuffle (but for those that share a bit
+    of the filter), and only rows inside are hashed in full. Within a group the row with the
+    smallest id stays (null ids last; equal ids: the row whose columns hash lowest). Null
+    texts count as empty. An empty table gives an empty table.
     """
     columns = df.columns
-    keyed = stage(spark, _keyed(df, text_col, digest=False), "exact")
-    survivors = stage(spark, _surviving(keyed), "exact-keys")
-    if survivors.count() > BROADCAST_KEYS:
-        candidates, rest = df, None
-    else:
-        norm = normalised(F.col(text_col))
-        marked = df.withColumn("__key", F.xxhash64(F.octet_length(norm), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS))))
-        keys = F.broadcast(survivors.select(F.col("key").alias("__key")))
-        candidates = marked.join(keys, "__key", "left_semi").drop("__key")
-        rest = marked.join(keys, "__key", "left_anti").drop("__key")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*columns))
-    kept = (
-        candidates.groupBy(F.sha2(normalised(F.col(text_col)), 256).alias("__sha"))
-        .agg(F.min_by(F.struct(*columns), order).alias("__row"))
-        .select("__row.*")
-    )
-    return kept if rest is None else rest.unionByName(kept)
+    names = {c: f"__own_{i}" for i, c in enumerate(columns)}
+    rows = df.withColumnsRenamed(names)
+    text, ident = F.col(names[text_col]), F.col(names[id_col])
+    survivors = stage(spark, _surviving(_keyed(df, text_col, digest=False)), "exact-keys")
+    bits = stage(spark, _filter(survivors, filter_bits), "exact-filter")
+    norm = normalised(text)
+    keyed = rows.withColumn("key", F.xxhash64(F.octet_length(norm), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS))))
+    bit = F.pmod("key", F.lit(filter_bits))
+    marked = keyed.withColumns({"slot": F.bitmap_bucket_number(bit), "place": F.bitmap_bit_position(bit)}).join(F.broadcast(bits), "slot", "left")
+    marked = marked.withColumn("maybe", _is_set(F.col("bitmap"), F.col("place"))).drop("slot", "place", "bitmap")
+    own = [F.col(c) for c in names.values()]
+    passing = marked.where(~F.col("maybe")).select(*own)
+    maybe = marked.where("maybe").join(survivors.withColumn("survives", F.lit(True)), "key", "left")
+    maybe = stage(spark, maybe.select(*own, "survives"), "exact-maybe")
+    order = F.struct(ident.isNull(), ident, F.xxhash64(*own))
+    alone = maybe.where("survives is null").select(*own)
+    kept = maybe.where("survives").groupBy(F.sha2(norm, 256).alias("sha")).agg(F.min_by(F.struct(*own), order).alias("row")).select("row.*")
+    out = passing.unionByName(alone).unionByName(kept)
+    return out.select(*[F.col(names[c]).alias(c) for c in columns])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
