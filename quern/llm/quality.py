@@ -129,42 +129,46 @@ def pattern_quality(counts: DataFrame, n_rules: int, iterations: int = ITERATION
     return one.select(F.explode(F.expr(_fit_sql(n_rules, iterations))).alias("q")).select("q.code", "q.quality")
 
 
+def _code() -> Column:
+    """The votes of the rules as one number, base 3."""
+    return sum(((vote + 1) * F.lit(3**k) for k, (_, vote) in enumerate(rules())), F.lit(0)).cast("int")
+
+
+def _weighed(counted: DataFrame) -> DataFrame:
+    """``counted`` (staged) with base_failed, quality and kept, from its counts and code."""
+    quality = pattern_quality(counted.groupBy("code").agg(F.count(F.lit(1)).alias("n")), len(rules()))
+    # a bounded table: 3^6 rows at most
+    out = counted.join(F.broadcast(quality), "code", "left")
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return out.withColumns({"base_failed": failed, "kept": ~failed & (F.col("quality") >= THRESHOLD)})
+
+
 def score(spark: SparkSession, df: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
     """keep columns, the counts, the votes' code, base_failed, quality and kept of every row.
 
     Null texts, empty texts and texts of white space have no words and fail the base rule.
-    Repeated rows get equal results. An empty table gives an empty table. ``keep`` columns
-    may not be named like a count.
+    Repeated rows get equal results. An empty table gives an empty table. A ``keep`` column
+    named like one that is added is replaced by it.
     """
-    counted = stage(spark, features(df, text_col, *keep), "quality")
-    voting = rules()
-    code = sum(((vote + 1) * F.lit(3**k) for k, (_, vote) in enumerate(voting)), F.lit(0))
-    voted = counted.withColumn("code", code.cast("int"))
-    quality = pattern_quality(voted.groupBy("code").agg(F.count(F.lit(1)).alias("n")), len(voting))
-    # a bounded table: 3^6 rows at most
-    out = voted.join(F.broadcast(quality), "code", "left")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumns({"base_failed": failed, "kept": ~failed & (F.col("quality") >= THRESHOLD)})
+    rows = df.select(*[F.col(c).alias(f"__own_{c}") for c in keep], F.col(text_col).alias("__text"))
+    counted = features(rows, "__text", *[f"__own_{c}" for c in keep]).withColumn("code", _code())
+    judged = _weighed(stage(spark, counted, "quality"))
+    own = [F.col(f"__own_{c}").alias(c) for c in keep if c not in judged.columns]
+    return judged.select(*own, *[c for c in judged.columns if not c.startswith("__own_")])
 
 
 def keep_good(spark: SparkSession, df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that the rules keep, columns as they were.
 
-    The decision is a function of the row's own counts and the fitted patterns, so rows
-    aren't joined by id and repeated ids do no harm.
+    Texts are counted once: rows are written with their code, and the decision, a function of
+    the code and the base rule, is taken there, so rows aren't joined by id and repeated ids
+    do no harm.
     """
     columns = df.columns
     names = {c: f"__own_{i}" for i, c in enumerate(columns)}
-    rows = df.withColumnsRenamed(names)
-    counted = stage(spark, features(rows, names[text_col]), "quality")
-    voting = rules()
-    code = sum(((vote + 1) * F.lit(3**k) for k, (_, vote) in enumerate(voting)), F.lit(0)).cast("int")
-    quality = pattern_quality(counted.withColumn("code", code).groupBy("code").agg(F.count(F.lit(1)).alias("n")), len(voting))
-    good = stage(spark, quality.where(F.col("quality") >= THRESHOLD).select("code"), "quality-patterns")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = features(rows, names[text_col], *names.values()).withColumn("code", code).where(~failed)
-    kept = judged.join(F.broadcast(good), "code", "left_semi")
-    return kept.select(*[F.col(names[c]).alias(c) for c in columns])
+    counted = features(df.withColumnsRenamed(names), names[text_col], *names.values()).withColumn("code", _code())
+    judged = _weighed(stage(spark, counted.select(*names.values(), "n_words", "n_repeat_words", "code"), "quality"))
+    return judged.where("kept").select(*[F.col(names[c]).alias(c) for c in columns])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,6 +154,9 @@ def test_exact(spark):
     kept = drop_exact_duplicates(spark, frame(spark, [(i, t, "s") for i, t in docs]))
     assert kept.columns == frame(spark, []).columns
     assert sorted(brute.sha(brute.norm(r.text)) for r in kept.collect()) == sorted(want)
+    # a filter that lets every row into the join gives the same rows
+    everything = drop_exact_duplicates(spark, frame(spark, [(i, t, "s") for i, t in docs]), filter_bits=1)
+    assert sorted(map(str, everything.collect())) == sorted(map(str, kept.collect()))
     assert exact_duplicates(spark, frame(spark, [])).count() == 0 and drop_exact_duplicates(spark, frame(spark, [])).count() == 0
 
 
@@ -175,6 +178,8 @@ def test_quality_counts_and_verdicts(spark):
     kept = quality.keep_good(spark, frame(spark, [(i, t, "s") for i, t in docs.items()]))
     assert kept.columns == frame(spark, []).columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in rows.items() if r.kept)
+    clashing = quality.score(spark, frame(spark, [(i, t, "s") for i, t in docs.items()]), "doc_id", "kept", "code", "source").collect()
+    assert {r.doc_id: (r.kept, r.code, r.source) for r in clashing} == {i: (r.kept, r.code, "s") for i, r in rows.items()}
     assert quality.score(spark, frame(spark, []).select("doc_id", "text"), "doc_id").count() == 0
     assert quality.keep_good(spark, frame(spark, [])).count() == 0
 
