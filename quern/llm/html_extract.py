@@ -3,10 +3,11 @@
 The standard library's parser streams events; they make one line per block element, with
 its characters and its tags. The text-to-tag ratio per line is smoothed with a Gaussian
 kernel and the lines fall into two clusters at a threshold found by one-dimensional
-2-means. High lines name the content region: the ``article`` or ``main`` element that
-holds most of their text, or else the deepest container that does. All lines of that
-region that stand in no menu, header, footer, sidebar, notice, advert, form or comment
-section are the text: a short paragraph inside the region stays whatever its ratio.
+2-means. High lines name the content region: the ``article`` elements that hold most of
+their text, the ``main`` element that does, or else the deepest container that does. All
+lines of that region that stand in no menu, header, footer, sidebar, notice, advert, form or
+comment section are the text: a short paragraph inside the region stays whatever its ratio.
+Low lines in a row that are nothing but links are a menu, whatever element they stand in.
 
 Menus, footers and asides are told by their tags, the other kinds by a list of words for
 class, id and role, and forms. The clusters overrule the list: an element marked by it, or
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -58,10 +61,12 @@ GENERIC = frozenset(
 )
 #: Marks of what is prose as dense as the article: overruled only where no dense text stands in the open beside it.
 PROSE = frozenset("comment comments disqus respond reply replies discussion".split())
+#: So many low lines of nothing but links in a row are a menu, whatever its tags.
+MENU = 3
 #: Share of the page's high text that is most of it, here as for the region.
 MOST = 0.6
 HEADER = frozenset({"header", "masthead", "banner"})
-CONTAINER = frozenset("article main section div td body html blockquote".split())
+CONTAINER = frozenset("article main section div form td body html blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPACES = re.compile(r"\s+")
 _TOKENS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]+")
@@ -86,30 +91,94 @@ def _marks(attrs: list[tuple[str, str | None]]) -> tuple[set[str], bool]:
     return words, hidden
 
 
+@dataclass
+class _Line:
+    """A block's text with its tags, whether all of it is link text, its innermost container and mark, and whether it
+    stands in a heading of an article."""
+
+    text: str
+    tags: int
+    links: bool
+    container: int
+    mark: int
+    headline: bool
+
+    @property
+    def ratio(self) -> float:
+        return len(self.text) / max(1, self.tags)
+
+
+@dataclass
+class _Open:
+    """An open element: its own kind of mark, and what holds for all that stands in it."""
+
+    tag: str
+    kind: int
+    doubtful: bool | None
+    container: int
+    mark: int
+    heading: bool
+    article: bool
+
+
 class _Lines(HTMLParser):
-    """Lines: (text, tags, containers, marks (mark id, kind) from outside in, in a heading of an article)."""
+    """Lines of a page, and trees of its containers and marks by number: a parent's number is smaller, 0 is none."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list = []
-        self.open: list = []  # (tag, kind of mark or 0, container id or 0, mark id)
+        self.lines: list[_Line] = []
+        self.open: list[_Open] = []
+        self.count: Counter = Counter()  # open elements by tag
         self.buffer: list[str] = []
         self.tags = 0
-        self.made = 0
-        self.kinds: dict[int, str] = {}
+        self.plain = self.linked = 0  # characters outside and inside of links
+        self.containers = [0]  # parents
+        self.kinds = [""]
+        self.marks = [0]  # parents
+        self.mark_kinds = [0]
         self.unread: int | None = None  # place in open of the outermost element of UNREAD
-        self.marked = 0
-        self.doubtful: dict[int, bool] = {}  # ids of marks that the clusters may overrule; whether they name prose
+        self.before: Counter = Counter()  # open elements by tag when it was opened
+        self.doubtful: dict[int, bool] = {}  # marks that the clusters may overrule; whether they name prose
 
     def flush(self):
         text = _SPACES.sub(" ", "".join(self.buffer)).strip()
         if text:
-            around = self.open[: self.unread]  # nothing in the buffer is from inside an unread element
-            headline = any(x[0] in HEADINGS for x in around) and any(x[0] == "article" for x in around)
-            self.lines.append((text, self.tags, tuple(x[2] for x in around if x[2]), tuple((x[3], x[1]) for x in around if x[1]), headline))
+            # nothing in the buffer is from inside an unread element
+            at = len(self.open) if self.unread is None else self.unread
+            x = self.open[at - 1] if at else None
+            links = self.linked > 0 and not self.plain
+            self.lines.append(_Line(text, self.tags, links, x.container if x else 0, x.mark if x else 0, bool(x and x.heading and x.article)))
             self.tags = 0
+        self.plain = self.linked = 0
         self.buffer.clear()
 
+    def _push(self, tag: str, kind: int, doubtful: bool | None):
+        """Open an element. ``doubtful``: None if its mark is certain, else whether it names prose."""
+        x = self.open[-1] if self.open else None
+        container, mark = (x.container, x.mark) if x else (0, 0)
+        if tag in CONTAINER:
+            self.containers.append(container)
+            self.kinds.append(tag)
+            container = len(self.kinds) - 1
+        if kind:
+            self.marks.append(mark)
+            self.mark_kinds.append(kind)
+            mark = len(self.marks) - 1
+            if doubtful is not None:
+                self.doubtful[mark] = doubtful
+        self.count[tag] += 1
+        self.open.append(_Open(tag, kind, doubtful, container, mark, tag in HEADINGS or bool(x and x.heading), tag == "article" or bool(x and x.article)))
+
+    def _drop(self, at: int, keep) -> None:
+        """Close the element at ``at`` and those in it, but for the ones to keep, which stay open without it."""
+        inside = self.open[at + 1 :]
+        for x in self.open[at:]:
+            self.count[x.tag] -= 1
+        del self.open[at:]
+        for x in inside:
+            if keep(x):
+                self._push(x.tag, x.kind, x.doubtful)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
@@ -117,10 +186,10 @@ class _Lines(HTMLParser):
         if tag in BLOCK and self.unread is None:
             self.flush()
             if tag in CLOSES_P:
-                self._close({"p"}, BLOCK - {"p"})
+                self._close("p", BLOCK - {"p"})
             for kind, closers in CLOSED_BY.items():
                 if tag in closers:
-                    self._close({kind}, {"ul", "ol", "dl", "table", "select"})
+                    self._close(kind, {"ul", "ol", "dl", "table", "select"})
         if tag in VOID:
             return
         skipped = 0
@@ -136,62 +205,59 @@ class _Lines(HTMLParser):
                 skipped = 1
             elif words & HEADER and tag != "h1":
                 skipped = 2
-        elif tag in ("article",):
+        elif tag == "article":
             words, hidden = _marks(attrs)
             if hidden or words & OTHER_ARTICLE:
                 skipped = 1
-        if skipped:
-            self.marked += 1
-            if tag == "form" or tag not in SKIP and tag != "header" and not hidden:
-                self.doubtful[self.marked] = bool(words & PROSE)
-        ident = 0
-        if tag in CONTAINER:
-            self.made += 1
-            ident = self.made
-            self.kinds[ident] = tag
         if tag in UNREAD and self.unread is None:
-            self.unread = len(self.open)
-        self.open.append((tag, skipped, ident, self.marked))
+            self.unread, self.before = len(self.open), self.count.copy()
+        may_be_text = tag == "form" or tag not in SKIP and tag != "header" and not hidden
+        self._push(tag, skipped, bool(words & PROSE) if skipped and may_be_text else None)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in UNREAD:  # as in XHTML; left open it would take all that follows
-            self.open.pop()
-            self._settle()
-
-    def _settle(self):
-        """Find the outermost unread element again after elements were closed."""
-        if self.unread is not None:
-            self.unread = next((at for at, x in enumerate(self.open) if x[0] in UNREAD), None)
+            self.count[self.open.pop().tag] -= 1
+            if self.unread == len(self.open):
+                self.unread = None
 
-    def _close(self, tags: set[str], until):
+    def _close(self, tag: str, until):
+        """Close the innermost ``tag``, if none of ``until`` stands in between; inline elements left open in it stay open."""
+        if not self.count[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
-            name = self.open[at][0]
-            if name in tags:
-                # inline elements left open inside stay open, without what they were in
-                self.open[at:] = [x for x in self.open[at + 1 :] if x[0] not in BLOCK]
+            name = self.open[at].tag
+            if name == tag:
+                self._drop(at, lambda x: x.tag not in BLOCK)
                 return
             if name in until:
                 return
 
     def handle_endtag(self, tag):
         self.tags += 1
-        if tag in BLOCK and (self.unread is None or all(x[0] != tag for x in self.open[self.unread :])):
+        if tag in BLOCK and (self.unread is None or self.count[tag] == self.before[tag]):
             self.flush()
+        if not self.count[tag]:
+            return
+        whole = tag in BLOCK or tag in SKIP
         for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                if tag in BLOCK or tag in SKIP:
-                    del self.open[at:]
-                else:
-                    del self.open[at]
-                self._settle()
+            name = self.open[at].tag
+            if name == tag:
+                if self.unread is not None and at <= self.unread:
+                    self.unread = self.unread - 1 if not whole else None
+                self._drop(at, lambda x: not whole)
                 return
-            if tag not in BLOCK and tag not in UNREAD and self.open[at][0] in BLOCK:
+            if not whole and name in BLOCK:
                 return
 
     def handle_data(self, data):
         if self.unread is None:
             self.buffer.append(data)
+            if not data.isspace():
+                if self.count["a"]:
+                    self.linked += len(data)
+                else:
+                    self.plain += len(data)
 
     def unknown_decl(self, data):
         pass
@@ -240,10 +306,30 @@ def cluster_threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def _skipped(line: tuple, overruled: set[int]) -> bool:
-    """Whether a line stands in a marked element; the headline in an article's own header doesn't count as marked."""
-    kinds = [kind for mark, kind in line[3] if mark not in overruled]
-    return bool(kinds) and not (line[4] and all(kind == 2 for kind in kinds))
+def _summed(parents: list[int], own: dict[int, int]) -> list[int]:
+    """The sum of ``own`` in each node of a tree and all that stands in it."""
+    total = [own.get(at, 0) for at in range(len(parents))]
+    for at in range(len(parents) - 1, 0, -1):  # numbers grow inwards
+        total[parents[at]] += total[at]
+    return total
+
+
+def _skipped(parser: _Lines, overruled: set[int]) -> list[bool]:
+    """Whether each line stands in a marked element; the headline in an article's own header doesn't count as marked."""
+    marked, certain = [False], [False]  # in a mark that holds; in one that isn't a header's
+    for mark in range(1, len(parser.marks)):
+        holds, parent = mark not in overruled, parser.marks[mark]
+        marked.append(holds or marked[parent])
+        certain.append(holds and parser.mark_kinds[mark] == 1 or certain[parent])
+    return [marked[x.mark] and not (x.headline and not certain[x.mark]) for x in parser.lines]
+
+
+def _high(parser: _Lines, skipped: list[bool], sigma: float) -> tuple[float, list[bool]]:
+    """The threshold between the two clusters of smoothed ratios, skipped lines having ratio 0, and which lines lie above."""
+    ratios = [0.0 if s else x.ratio for x, s in zip(parser.lines, skipped)]
+    smoothed = smooth(ratios, sigma)
+    cut = cluster_threshold(smoothed)
+    return cut, [v >= cut and not s for v, s in zip(smoothed, skipped)]
 
 
 def _overruled(parser: _Lines, sigma: float) -> set[int]:
@@ -254,57 +340,88 @@ def _overruled(parser: _Lines, sigma: float) -> set[int]:
     if its words name readers' prose.
     """
     overruled: set[int] = set()
-    doubtful = set(parser.doubtful)
-    ratios = [0.0 if _skipped(x, doubtful) else len(x[0]) / max(1, x[1]) for x in parser.lines]
-    if not doubtful or not any(ratios):
+    skipped = _skipped(parser, set(parser.doubtful))
+    if not parser.doubtful or all(skipped):
         return overruled
-    cut = cluster_threshold(smoothed := smooth(ratios, sigma))
-    high = [x for x, r, v in zip(parser.lines, ratios, smoothed) if v >= cut and r]
-    dense = [x for x, r in zip(parser.lines, ratios) if 2 * r >= cut and r]
-    total = sum(len(x[0]) for x in high)
+    cut, high = _high(parser, skipped, sigma)
     mass: dict[int, int] = {}
-    for x in high:
-        for mark, _ in x[3]:
-            mass[mark] = mass.get(mark, 0) + len(x[0])
-    for mark in sorted(doubtful & mass.keys()):  # ids grow inwards
-        if mass[mark] < MOST * total:
+    dense: dict[int, int] = {}  # of lines that an overruled mark would open
+    heads: dict[int, int] = {}  # of headlines, which are in the open in any case
+    still = _skipped(parser, overruled)
+    for x, s, h, t in zip(parser.lines, skipped, high, still):
+        if h:
+            mass[x.mark] = mass.get(x.mark, 0) + len(x.text)
+        if not s and 2 * x.ratio >= cut:
+            kind = dense if t or not x.mark else heads
+            kind[x.mark] = kind.get(x.mark, 0) + len(x.text)
+    total = sum(mass.values())
+    held, headed = _summed(parser.marks, mass), _summed(parser.marks, heads)
+    beside = dense.get(0, 0) + sum(heads.values())
+    in_open = {0}
+    for mark in sorted(parser.doubtful):  # at most one of two elements side by side holds most of the text
+        if not held[mark] or held[mark] < MOST * total:
             continue
-        beside = sum(len(x[0]) for x in dense if not _skipped(x, overruled) and all(m != mark for m, _ in x[3]))
-        if not beside or not parser.doubtful[mark] and 3 * beside <= mass[mark]:
+        rest = beside - headed[mark]
+        if not rest or not parser.doubtful[mark] and 3 * rest <= held[mark]:
             overruled.add(mark)
+            if parser.marks[mark] in in_open:
+                in_open.add(mark)
+                beside += dense.get(mark, 0)
     return overruled
 
 
+def _menus(lines: list[_Line], high: list[bool]) -> list[bool]:
+    """Lines of menus without a menu's tag: ``MENU`` or more low lines in a row of nothing but links."""
+    low = [x.links and not h for x, h in zip(lines, high)]
+    out = [False] * len(lines)
+    at = 0
+    while at < len(low):
+        end = at
+        while end < len(low) and low[end]:
+            end += 1
+        if end - at >= MENU:
+            out[at:end] = [True] * (end - at)
+        at = end + 1
+    return out
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of one page, blocks joined by an empty line; empty if there is none."""
     if not html:
         return ""
     parser = parse_lines(html)
     lines = parser.lines
-    overruled = _overruled(parser, sigma)
-    skipped = [_skipped(x, overruled) for x in lines]
-    open_lines = [x for x, s in zip(lines, skipped) if not s]
-    if not open_lines:
+    skipped = _skipped(parser, _overruled(parser, sigma))
+    if all(skipped):
         return ""
-    ratios = [0.0 if s else len(x[0]) / max(1, x[1]) for x, s in zip(lines, skipped)]
-    cut = cluster_threshold(smoothed := smooth(ratios, sigma))
-    high = [x for x, s, v in zip(lines, skipped, smoothed) if v >= cut and not s] or open_lines
-    mass: dict[int, int] = {}
-    for text, _, containers, _, _ in high:
-        for ident in containers:
-            mass[ident] = mass.get(ident, 0) + len(text)
-    total = sum(len(x[0]) for x in high)
-    region = 0
-    for kinds in (("article",), ("main",)):
-        named = [i for i in mass if parser.kinds[i] in kinds]
+    _, high = _high(parser, skipped, sigma)
+    skipped = [s or m for s, m in zip(skipped, _menus(lines, high))]
+    if all(skipped):
+        return ""
+    high = [h and not s for h, s in zip(high, skipped)]
+    if not any(high):
+        high = [not s for s in skipped]
+    own: dict[int, int] = {}
+    for x, h in zip(lines, high):
+        if h:
+            own[x.container] = own.get(x.container, 0) + len(x.text)
+    mass = _summed(parser.containers, own)
+    regions: set[int] = set()
+    for kind in ("article", "main"):
+        named = [at for at in range(1, len(mass)) if mass[at] and parser.kinds[at] == kind]
         if named:
-            region = max(named, key=lambda i: (mass[i], -i))
+            largest = max(mass[at] for at in named)
+            # several articles of a page are all its text, unless they are small beside the largest
+            regions = {at for at in named if 2 * mass[at] >= largest} if kind == "article" else {max(named, key=lambda at: (mass[at], -at))}
             break
-    if not region:
-        for ident in sorted(mass):  # ids grow inwards: the deepest that holds most of the high lines
-            if mass[ident] >= MOST * total:
-                region = ident
-    return "\n\n".join(x[0] for x in open_lines if not region or region in x[2])
+    if not regions:
+        # the deepest that holds most of the high lines
+        deepest = [at for at in range(1, len(mass)) if mass[at] >= MOST * mass[0]]
+        regions = set(deepest[-1:])
+    inside = [not regions]
+    for at in range(1, len(mass)):
+        inside.append(inside[parser.containers[at]] or at in regions)
+    return "\n\n".join(x.text for x, s in zip(lines, skipped) if not s and inside[x.container])
 
 
 def extract_text(df: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

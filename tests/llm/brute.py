@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import html
 import re
 from collections import Counter, defaultdict
 
@@ -121,3 +122,12 @@ def exact(docs):
     for i, text in docs:
         groups[norm(text)].append(i)
     return [(min(groups[norm(t)]), len(groups[norm(t)])) for _, t in docs]
+
+
+def article(page):
+    """Blocks of the article element of a generated page, by plain substitutions."""
+    inner = page[page.index("<article") : page.index("</article>")] if "<article" in page else page
+    inner = re.sub(r"<!--.*?-->|<(script|style|nav|aside|footer|form)\b.*?</\1>|<div class=\"?ad\"?>.*?</div>", "", inner, flags=re.S)
+    blocks = re.split(r"</?(?:article|p|h[1-6]|ul|ol|li|div|blockquote|pre|section|table|tr|td)\b[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in blocks]
+    return "\n\n".join(x for x in texts if x)

@@ -1,6 +1,8 @@
 """Operators against plain versions, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import os
 import random
+import time
 
 import brute
 import pytest
@@ -512,3 +514,46 @@ def test_near_duplicates_of_a_template(spark):
     got = near_duplicates(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string"), seen=seen).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(docs)
     assert seen["met"] + seen["rest"] < 0.4 * 300 * 299 / 2, seen
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_html_pages_against_plain_substitutions(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = html_extract.extract_text(pages, out_col="found").select("html", "found").collect()
+    assert len(got) > 10 and all(r.found == brute.article(r.html) for r in got)
+
+
+@pytest.mark.parametrize(
+    "shell",
+    [
+        "<div id='content-sidebar-wrap'>%s</div>",
+        "<div class='content no-sidebar'>%s</div>",
+        "<div class='post has-related'>%s</div>",
+        "<div class='social-science'>%s</div>",
+        "<div class='layout-notice-free'>%s</div>",
+        "<form id='aspnetForm'>%s</form>",
+    ],
+)
+def test_html_clusters_find_the_article(shell, monkeypatch):
+    """No article, main or nav tag names anything: menus and the other column are told by their ratios alone."""
+    lines = [f"Line {i} of the article, which goes on for a while, as prose does." for i in range(6)]
+    menu = "<div>" + "".join(f"<div><a href=/{w}><i>{w}</i></a></div>" for w in ("Home", "News", "Shop", "Maps", "Help")) + "</div>"
+    links = "".join(f"<p><a href=/{i}><b>See {i}</b></a></p>" for i in range(4))
+    body = "".join(f"<p>{x}</p>" for x in lines[:3]) + links + "".join(f"<p>{x}</p>" for x in lines[3:])
+    page = f"<html><body>{menu}{shell % body}<div><p>(c) <a>me</a></p></div></body></html>"
+    assert html_extract.main_text(page) == "\n\n".join(lines)
+    monkeypatch.setattr(html_extract, "cluster_threshold", lambda values: -1.0)
+    assert "Home" in html_extract.main_text(page) or "See 1" in html_extract.main_text(page)
+
+
+def test_html_several_articles():
+    a, b = "<p>The first story, told at some length, as stories are.</p>" * 4, "<p>The second story, which is as long as the first one is.</p>" * 4
+    got = html_extract.main_text(f"<body><nav>x</nav><article>{a}</article><div class=ad>Buy</div><article>{b}</article><article><p>Next: more</p></article></body>")
+    assert got.count("first story") == 4 and got.count("second story") == 4 and "Buy" not in got and "Next" not in got
+
+
+@pytest.mark.parametrize("piece", ["<div>line", "<font>t", "<p><font>t", "<div class=sidebar>line", "<b>x</i>"])
+def test_html_nesting_takes_linear_time(piece):
+    began = time.process_time()
+    html_extract.main_text("".join(f"{piece} {i} " for i in range(20000)))
+    assert time.process_time() - began < 3
