@@ -351,6 +351,21 @@ def test_packing(spark):
     assert packing.pack_documents(spark, frame(spark, [])).count() == 0
 
 
+def test_packing_fills_bins_whatever_the_blocks(spark):
+    draw = random.Random(18)
+    rows = [(i, prose(draw, draw.randint(1, 90)), f"s{draw.randrange(30)}") for i in range(1500)]
+    used = {}
+    for blocks in (100_000, 150):
+        got = packing.pack_documents(spark, frame(spark, rows), capacity=100, block_pieces=blocks).collect()
+        assert sorted(r.doc_id for r in got) == list(range(1500))
+        fill = {}
+        for r in got:
+            fill[r.bin_id] = fill.get(r.bin_id, 0) + r.n_words
+        assert all(fill[r.bin_id] == r.bin_words <= 100 for r in got)
+        used[blocks] = len(fill)
+    assert used[150] <= 1.03 * used[100_000]  # blocks of some seventy bins
+
+
 def test_packing_by_given_clusters(spark):
     """Near copies of different sources share no bin if their cluster is given."""
     draw = random.Random(10)
