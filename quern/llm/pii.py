@@ -181,6 +181,15 @@ def find_pii(spark: SparkSession, df: DataFrame, text_col: str = "text", id_col:
     table gives an empty table. Other columns of ``df`` are not looked at.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base, marked = _found(spark, rows)
+    out, none = base.drop("near"), F.expr(f"cast(array() as {SPAN})")
+    if marked is None:
+        return out.drop("doc").withColumn("added", none)
+    return out.join(_side(marked), "doc", "left").drop("doc").withColumn("added", F.coalesce("added", none))
+
+
+def _found(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Of rows of (doc_id, text): base (doc_id, row_no, doc, base, near), and (doc, added) of texts with disclosing terms, if any."""
     texts = rows.select(F.xxhash64("text").alias("doc"), "text")
     found = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
     near = F.transform("base", lambda x: _context(F.col("text"), x))
@@ -190,15 +199,31 @@ def find_pii(spark: SparkSession, df: DataFrame, text_col: str = "text", id_col:
     entities = base.where("near is not null").select("doc", F.explode("near").alias("x")).groupBy("doc", "x.entity").agg(F.min("x.context").alias("context"))
     entities = stage(spark, entities, "pii-entities")
     disclosed = stage(spark, disclosing_terms(spark, texts, entities), "pii-disclosed")
-    out, none = base.drop("near", "doc"), F.expr(f"cast(array() as {SPAN})")
     if disclosed.isEmpty():
-        return out.withColumn("added", none)
+        return base, None
     told = stage(spark, entities.join(disclosed, "entity").groupBy("doc").agg(F.collect_set("term").alias("terms")), "pii-told")
     word = lambda w: F.struct(w["kind"].alias("kind"), w["s"].alias("s"), w["e"].alias("e"), _term(w["v"]).alias("v"))
     placed = F.filter(F.transform(located(F.col("text"), WORD_CLASS, "term"), word), lambda w: F.array_contains(F.col("terms"), w["v"]))
     marked = texts.join(_side(told), "doc").select("doc", placed.alias("added")).groupBy("doc").agg(F.first("added").alias("added"))
-    out = base.drop("near").join(_side(stage(spark, marked, "pii-marked")), "doc", "left").drop("doc")
-    return out.withColumn("added", F.coalesce("added", none))
+    return base, stage(spark, marked, "pii-marked")
+
+
+def sanitise(spark: SparkSession, df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` with every span of their texts generalised to its kind (``<email>``, ``<term>``), other columns as they were.
+
+    Null texts stay null. Repeated rows get equal texts; an empty table gives an empty table.
+    """
+    columns = df.columns
+    names = {c: f"__own_{i}" for i, c in enumerate(columns)}
+    _, marked = _found(spark, df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    text = F.col(names[text_col])
+    rows = df.withColumnsRenamed(names)
+    spans = base_spans(F.coalesce(text, F.lit("")))
+    if marked is not None:
+        rows = rows.withColumn("doc", F.xxhash64(F.coalesce(text, F.lit("")))).join(_side(marked), "doc", "left")
+        spans = F.concat(spans, F.coalesce("added", F.expr(f"cast(array() as {SPAN})")))
+    clean = F.when(text.isNotNull(), let(spans, lambda found: F.when(F.size(found) == 0, text).otherwise(redacted(text, found))))
+    return rows.select(*[(clean if c == text_col else F.col(names[c])).alias(c) for c in columns])
 
 
 def redacted(text: Column, spans: Column) -> Column:

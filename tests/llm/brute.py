@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -131,3 +132,27 @@ def article(page):
     blocks = re.split(r"</?(?:article|p|h[1-6]|ul|ol|li|div|blockquote|pre|section|table|tr|td)\b[^>]*>", inner)
     texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in blocks]
     return "\n\n".join(x for x in texts if x)
+
+
+def disclosing(texts, contexts=3, conditional=0.5, bits=3.0, reach=100):
+    """(entity, term) pairs beyond the thresholds, all counts in distinct texts; a text has one context for each entity.
+
+    The least context by hash is not known here, so no text may hold an entity twice.
+    """
+    texts = sorted(set(texts))
+    held, around = defaultdict(dict), {}
+    terms = [{t.lower() for t in (re.sub(r"^[\W\d_]+|[\W\d_]+$", "", w) for w in words(x)) if re.search(r"[^\W\d_]{2}", t) and not re.search("[0-9@]", t)} for x in texts]
+    for n, x in enumerate(texts):
+        for kind, s, e in pii(x):
+            assert n not in held[kind, x[s:e]]
+            held[kind, x[s:e]][n] = (x[max(0, s - reach) : s], x[e : e + reach])
+    out = set()
+    for entity, rows in held.items():
+        if len(set(rows.values())) < contexts:
+            continue
+        for term in set().union(*(terms[n] for n in rows)):
+            both = [n for n in rows if term in terms[n]]
+            n_term = sum(term in t for t in terms)
+            if len({rows[n] for n in both}) >= contexts and len(both) >= conditional * n_term and math.log2(len(texts) * len(both) / (n_term * len(rows))) >= bits:
+                out.add((":".join(entity), term))
+    return out

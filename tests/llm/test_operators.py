@@ -572,3 +572,32 @@ def test_html_nesting_takes_linear_time(piece):
     began = time.process_time()
     html_extract.main_text("".join(f"{piece} {i} " for i in range(20000)))
     assert time.process_time() - began < 3
+
+
+def test_pii_terms_against_plain_counts(spark):
+    """Added spans of a random corpus, copies included, are those of plain counts; texts are sanitised at all spans."""
+    draw = random.Random(19)
+    people = [(f"{n}@site.org", n.capitalize() + "sson", draw.randint(2, 6)) for n in ("ada", "bob", "cyd", "dan", "eve", "fay")]
+    word = lambda: "".join(draw.choices("ghjkmn", k=4))
+    texts = []
+    for mail, name, n in people:
+        for k in range(n):
+            before, after = " ".join(word() for _ in range(30)), " ".join(word() for _ in range(30))
+            texts.append(f"{before} {name if k or draw.random() < 0.5 else 'nobody'}, wrote {mail} today {after}")
+        texts += [f"{' '.join(word() for _ in range(20))} {name} {word()}" for _ in range(draw.randint(0, 4))]
+    texts += [f"{' '.join(word() for _ in range(20))} wrote today" for _ in range(60)]
+    texts += texts[:4] * 3
+    want = brute.disclosing(texts)
+    assert {t for _, t in want} & {n.lower() for _, n, _ in people}
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(900, None, "s"), (901, "", "s")]
+    for r in pii.find_pii(spark, frame(spark, rows)).collect():
+        text = rows[[i for i, _, _ in rows].index(r.doc_id)][1] or ""
+        terms = {t for e, t in want if e in {f"{k}:{text[s:x]}" for k, s, x in brute.pii(text)}}
+        assert sorted(x.v for x in r.added) == sorted(t for t in (w.lower().strip(",") for w in brute.words(text)) if t in terms)
+    clean = {r.doc_id: r for r in pii.sanitise(spark, frame(spark, rows)).collect()}
+    assert clean[900].text is None and clean[901].text == "" and len(clean) == len(rows)
+    for i, text, _ in rows[: len(texts)]:
+        assert "@" not in clean[i].text and ("<email>" in clean[i].text) == ("@" in text)
+        assert clean[i].source == "s"
+    assert any("<term>" in clean[i].text for i in range(len(texts)))
+    assert pii.sanitise(spark, frame(spark, [])).columns == frame(spark, []).columns
