@@ -395,10 +395,11 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("block", [url_filter.RULES_PER_BLOCK, 2])
-def test_urls(spark, block):
-    df = spark.createDataFrame([(i, u[0], "r") for i, u in enumerate(URLS)] + [(0, URLS[0][0], None)], "page_id long, url string, rule string")
-    got = url_filter.filter_urls(spark, df, url_filter.PRODUCTION_RULES, rules_per_block=block).collect()
+@pytest.mark.parametrize("block, at_once", [(url_filter.RULES_PER_BLOCK, url_filter.BLOCKS_AT_ONCE), (2, 8), (1, 2)])
+def test_urls(spark, block, at_once):
+    df = spark.createDataFrame([(i, u[0], "r", 1) for i, u in enumerate(URLS)] + [(0, URLS[0][0], None, 2)], "page_id long, url string, rule string, best int")
+    got = url_filter.filter_urls(spark, df, url_filter.PRODUCTION_RULES, rules_per_block=block, blocks_at_once=at_once).collect()
+    assert all(r.best in (1, 2) for r in got)
     assert len(got) == len(URLS) + 1
     for r in got:
         assert (r.url, r.host, r.path, r.rule, r.verdict) == URLS[r.page_id]
