@@ -11,18 +11,19 @@ byte of text, so only suffixes at content-chosen places are sorted:
 * Anchors whose k-gram occurs once hold no repeat. Of the others, cells with equal bytes
   (one hash over the whole cell) are one class, of which only the earliest cell goes on.
 * Classes that share a k-gram may share some of their windows. Their cells are brought
-  together by k-gram and the suffixes that start their windows are ordered by the prefix hash
-  of their first ``window`` bytes (two hashes from running sums, so a comparison costs one
-  subtraction), equal ones by place; every equality is checked on the bytes. Groups of more
-  than ``GROUP_CELLS`` cells don't go to one task: their windows are rows of an aggregation.
-
-``suffix_order`` is the comparison sort itself, for one text: mergesort, common extensions
-by binary search over prefix hashes, verified on the bytes.
+  together by k-gram and the suffixes that start their windows are sorted, as deep as a
+  window, by mergesort. A comparison finds the common extension by binary search over prefix
+  hashes, after a look at the first eight bytes, and decides on the byte behind it. Equal
+  suffixes keep their order of place. In the sorted order each suffix is compared with the
+  one before on the bytes: that proves the order and the equalities, and a group in which it
+  fails, by a collision, is sorted by bytes. Groups of more than ``GROUP_CELLS`` cells don't
+  go to one task: their windows are rows of an aggregation, equal by two 64-bit hashes.
+
+``suffix_order`` is the same sort over all suffixes of one text, however deep.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -42,38 +43,99 @@ SEGMENT = 1 << 18
 #: Cells with one k-gram that meet in one task; larger groups are resolved by aggregation.
 GROUP_CELLS = 2048
 #: Bytes of cells that a task resolves at a time, unless one group has more.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _RANGES = "array<struct<first:int,last:int>>"
 
 
+def _extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common extension of the suffixes at a and b, known to lie in [least, most], by binary search over prefix hashes."""
+    power = powers(len(prefix))[0]
+    low, high = least.copy(), most.copy()
+    pa, pb, wa, wb = prefix[a], prefix[b], power[a], power[b]
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        mid = (low + high + 1) >> 1
+        same = (prefix[a + mid] - pa) * wa == (prefix[b + mid] - pb) * wb
+        low = np.where(same, mid, low)
+        high = np.where(same, high, mid - 1)
+    return low
+
+
+def _heads(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, most significant first; zeros behind the end."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8))).astype(U64)
+    out = np.zeros(len(raw), U64)
+    for at in range(8):
+        out |= padded[at : at + len(raw)] << U64(56 - 8 * at)
+    return out
+
+
+def merge_sort(raw: np.ndarray, at: np.ndarray, ends: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Order of the suffixes raw[at:ends], each within its group; equal ones stay as they are given.
+
+    ``group`` ascends. Bottom-up: at each level the sorted runs of all groups are merged with
+    their neighbours at once, every suffix finding its place in the neighbour by binary search.
+    """
+    n = len(at)
+    prefix = prefix_sums(_BYTES[raw])
+    head = _heads(raw)[np.minimum(at, max(0, len(raw) - 1))] if n else np.zeros(0, U64)
+    length = ends - at
+    first = np.searchsorted(group, group)  # place of the group's first suffix
+    last = np.searchsorted(group, group, side="right")
+    order = np.arange(n)
+    local = order - first
+
+    def before(x: np.ndarray, y: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """Whether suffix x comes before y; ``ties`` says so of equal ones."""
+        out = head[x] < head[y]
+        same = np.flatnonzero((head[x] == head[y]))
+        if len(same):
+            a, b = x[same], y[same]
+            short = np.minimum(length[a], length[b])
+            common = _extension(prefix, at[a], at[b], np.minimum(8, short), short)
+            inside = common < short
+            by_byte = raw[np.where(inside, at[a] + common, 0)] < raw[np.where(inside, at[b] + common, 0)]
+            by_length = np.where(length[a] == length[b], ties[same], length[a] < length[b])
+            out[same] = np.where(inside, by_byte, by_length)
+        return out
+
+    width, widest = 1, int((last - first).max(initial=0))
+    while width < widest:
+        run = local // width  # of each place
+        start = first + run * width
+        left = run % 2 == 0
+        other = np.minimum(np.where(left, start + width, start - width), last)
+        low, high = other.copy(), np.minimum(other + width, last)
+        active = np.flatnonzero(low < high)
+        while len(active):
+            mid = (low[active] + high[active]) >> 1
+            # a suffix of the left run comes before its equals of the right run
+            later = before(order[mid], order[active], ~left[active])
+            low[active] = np.where(later, mid + 1, low[active])
+            high[active] = np.where(later, high[active], mid)
+            active = active[low[active] < high[active]]
+        place = np.minimum(start, np.where(left, start, other)) + (np.arange(n) - start) + (low - other)
+        merged = np.empty(n, np.int64)
+        merged[place] = order
+        order, width = merged, 2 * width
+    return order
+
+
 def suffix_order(data: bytes) -> tuple[list[int], list[int]]:
-    """Suffix array of ``data`` and the common extension of each suffix with the one before it."""
-    prefix = prefix_sums(_BYTES[np.frombuffer(data, np.uint8)])
-    power = powers(len(data) + 1)[0]
-
-    def common(a: int, b: int) -> int:
-        low, high = 0, len(data) - max(a, b)
-        while low < high:
-            mid = (low + high + 1) // 2
-            x, y = ((int(prefix[s + mid]) - int(prefix[s])) * int(power[s]) & 0xFFFFFFFFFFFFFFFF for s in (a, b))
-            if x == y:
-                low = mid
-            else:
-                high = mid - 1
-        while data[a : a + low] != data[b : b + low]:  # a collision: the hashes claimed too much
-            low -= 1
-        return low
-
-    def compare(a: int, b: int) -> int:
-        n = common(a, b)
-        if a + n == len(data) or b + n == len(data):
-            return (len(data) - a) - (len(data) - b)
-        return data[a + n] - data[b + n]
-
-    order = sorted(range(len(data)), key=functools.cmp_to_key(compare))
-    return order, [0] + [common(a, b) for a, b in zip(order, order[1:])]
+    """Suffix array of ``data`` and the common extension of each suffix with the one before it, verified on the bytes."""
+    raw, n = np.frombuffer(data, np.uint8), len(data)
+    order = merge_sort(raw, np.arange(n), np.full(n, n), np.zeros(n, np.int64))
+    a, b = order[:-1], order[1:]
+    common = _extension(prefix_sums(_BYTES[raw]), a, b, np.zeros(len(a), np.int64), n - np.maximum(a, b)).tolist()
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while data[x : x + common[i]] != data[y : y + common[i]]:  # a collision: the hashes claimed too much
+            common[i] -= 1
+        if data[x + common[i] : x + common[i] + 1] > data[y + common[i] : y + common[i] + 1]:  # and so was the order wrong
+            order = np.array(sorted(range(n), key=lambda at: data[at:]))
+            common = [next((k for k in range(n) if data[p + k : p + k + 1] != data[q + k : q + k + 1]), n) for p, q in zip(order.tolist(), order[1:].tolist())]
+            break
+    return order.tolist(), [0][:n] + common
 
 
 def cells_of(data: bytes, window: int = WINDOW, k: int = KGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,39 +216,37 @@ def _reader(window: int):
     return read
 
 
-def _repeats(keys: np.ndarray, marks: np.ndarray, firsts: np.ndarray, texts: list[bytes], window: int) -> list[tuple[int, int]]:
-    """(cell, window) of every window that an earlier cell holds too."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    joined = np.frombuffer(b"".join(texts), np.uint8)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+def _repeats(keys: np.ndarray, marks: np.ndarray, firsts: np.ndarray, grams: np.ndarray, texts: list[bytes], window: int) -> list[tuple[int, int]]:
+    """(cell, window) of every window that an earlier cell of the same k-gram holds too."""
+    by_place = np.lexsort((firsts, marks, keys, grams))
+    lengths = np.array([len(texts[c]) for c in by_place], np.int64)
+    raw = np.frombuffer(b"".join([texts[c] for c in by_place]), np.uint8)
+    starts = np.cumsum(lengths) - lengths
     counts = lengths - window + 1
-    cell = np.repeat(np.arange(len(texts)), counts)
-    offset = np.arange(len(cell)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-    at = starts[cell] + offset
-    hashes = window_hashes(prefix_sums(_BYTES[joined]), window, at)
-    rank = np.empty(len(texts), np.int64)
-    rank[np.lexsort((firsts, marks, keys))] = np.arange(len(texts))
-    order = np.lexsort((rank[cell], hashes))
-    new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
-    leader = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    later = order[~new]
-    against = leader[~new]
+    cell = np.repeat(by_place, counts)
+    offset = np.arange(len(cell)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(starts, counts) + offset
+    group = np.cumsum(np.diff(grams[cell], prepend=grams[cell[:1]]) != 0)
+    order = merge_sort(raw, at, at + window, group)
+    equal, wrong = np.zeros(len(order), bool), []
     wide = np.arange(window)
-    good = np.ones(len(later), bool)
-    for part in range(0, len(later), 1 << 15):
-        a, b = at[later[part : part + (1 << 15)]], at[against[part : part + (1 << 15)]]
-        good[part : part + (1 << 15)] = (joined[a[:, None] + wide] == joined[b[:, None] + wide]).all(axis=1)
-    found = list(zip(cell[later[good]].tolist(), offset[later[good]].tolist()))
-    for h in set(hashes[later[~good]].tolist()):  # a collision: sort these windows by their bytes
-        seen: set[bytes] = set()
-        hit = [i for i in order[hashes[order] == h]]
-        found = [x for x in found if hashes[np.flatnonzero((cell == x[0]) & (offset == x[1]))[0]] != h]
-        for i in hit:
-            data = joined[at[i] : at[i] + window].tobytes()
-            if data in seen:
-                found.append((int(cell[i]), int(offset[i])))
-            seen.add(data)
-    return found
+    for part in range(1, len(order), 1 << 15):
+        a, b = order[part - 1 : part - 1 + (1 << 15)], order[part : part + (1 << 15)]
+        a = a[: len(b)]
+        x, y = raw[at[a][:, None] + wide], raw[at[b][:, None] + wide]
+        differ = x != y
+        where = differ.argmax(axis=1)
+        row = np.arange(len(b))
+        same_group = group[a] == group[b]
+        equal[part : part + len(b)] = same_group & ~differ[row, where]
+        wrong += group[b[same_group & differ[row, where] & (x[row, where] > y[row, where])]].tolist()
+    for g in set(wrong):  # a collision: sort these windows by their bytes
+        inside = np.flatnonzero(group[order] == g)
+        windows = sorted(order[inside].tolist(), key=lambda i: (raw[at[i] : at[i] + window].tobytes(), i))
+        order[inside] = windows
+        equal[inside] = [n > 0 and raw[at[i] : at[i] + window].tobytes() == raw[at[windows[n - 1]] : at[windows[n - 1]] + window].tobytes() for n, i in enumerate(windows)]
+    later = order[equal]
+    return list(zip(cell[later].tolist(), offset[later].tolist()))
 
 
 def _resolver(window: int):
@@ -197,9 +257,9 @@ def _resolver(window: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            keys, marks, firsts = (np.array([r[n] for r in held], np.int64) for n in range(3))
+            keys, marks, firsts, grams = (np.array([r[n] for r in held], np.int64) for n in range(4))
             by_cell: dict[int, list[int]] = {}
-            for cell, offset in _repeats(keys, marks, firsts, [r[4] for r in held], window):
+            for cell, offset in _repeats(keys, marks, firsts, grams, [r[4] for r in held], window):
                 by_cell.setdefault(cell, []).append(offset)
             out: list[tuple] = []
             for cell, offsets in by_cell.items():

@@ -602,3 +602,49 @@ def test_pii_terms_against_plain_counts(spark):
         assert clean[i].source == "s"
     assert any("<term>" in clean[i].text for i in range(len(texts)))
     assert pii.sanitise(spark, frame(spark, [])).columns == frame(spark, []).columns
+
+
+def test_suffix_sort_proves_its_order(monkeypatch):
+    """With hashes that see nothing of a byte but its lowest bit, collisions are found on the bytes and results stay right."""
+    import numpy as np
+
+    draw = random.Random(20)
+    base = bytes(draw.choices(b"abcd", k=300))
+    cells = []
+    for n in range(60):
+        at = draw.randrange(150)
+        data = bytearray(base[at : at + draw.randint(12, 60)])
+        if n % 3 == 0:
+            data[draw.randrange(len(data))] = 120
+        cells.append((draw.randrange(20), 0, n, n % 7, bytes(data)))
+    columns = [np.array([c[k] for c in cells], np.int64) for k in range(4)]
+
+    def found():
+        got = suffix_dedup._repeats(*columns, [c[4] for c in cells], 10)
+        assert len(got) == len(set(got))
+        return set(got)
+
+    seen, want = set(), set()
+    for n in sorted(range(60), key=lambda n: cells[n][:3]):
+        for at in range(len(cells[n][4]) - 9):
+            w = (cells[n][3], cells[n][4][at : at + 10])
+            if w in seen:
+                want.add((n, at))
+            seen.add(w)
+    assert found() == want and len(want) > 50
+    monkeypatch.setattr(suffix_dedup, "_BYTES", suffix_dedup._BYTES[np.arange(256) & 1])
+    assert found() == want
+    data = bytes(draw.choices(b"abcd", k=200))
+    assert suffix_dedup.suffix_order(data)[0] == sorted(range(200), key=lambda i: data[i:])
+
+
+def test_repeated_bytes_of_long_texts(spark, monkeypatch):
+    """Segments of a long text meet without a seam."""
+    draw = random.Random(21)
+    data = "".join(draw.choices("abc ", k=3000))
+    data = data + data[500:1500] + "".join(draw.choices("abc ", k=700)) + data[100:400]
+    whole = [x.tolist() for x in suffix_dedup.cells_of(data.encode())]
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
+    split = [x.tolist() for x in suffix_dedup.cells_of(data.encode())]
+    anchors = lambda cells: [(g, n) for g, f, l in zip(*cells) for n in range(f, l + 1)]  # noqa: E741, E731
+    assert anchors(split) == anchors(whole)
