@@ -24,7 +24,7 @@ def bands(index) -> dict[str, list[str]]:
     n = index.n_docs
     rows = index.term_stats.where("field = 'text' and doc_freq > 1").select("term", "doc_freq")
     pick = lambda low, high: [r.term for r in rows.where((F.col("doc_freq") >= low) & (F.col("doc_freq") < high)).orderBy(F.desc("doc_freq"), "term").limit(4).collect()]
-    return {"High": pick(0.2 * n, n + 1), "Med": pick(0.02 * n, 0.2 * n), "Low": pick(2, 0.002 * n)}
+    return {"High": pick(0.2 * n, n + 1), "Med": pick(0.02 * n, 0.2 * n), "Low": pick(2, 0.02 * n)}
 
 
 def tasks(by_band) -> dict:

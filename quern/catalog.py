@@ -11,7 +11,7 @@ from quern import oracle as o
 from quern.functions.analysis import norm, tokens
 from quern.operators.facets import drill_down, drill_sideways, facet_counts, top_children
 from quern.operators.search import match, search, search_many
-from quern.plans.query import MUST, MUST_NOT, SHOULD, Boolean, Clause, ConstantScore, Fuzzy, MatchAll, NumericRange, Phrase, Prefix, Query, Regexp, Term, TermRange, Wildcard
+from quern.plans.query import MUST, MUST_NOT, SHOULD, Boolean, Clause, ConstantScore, Fuzzy, MatchAll, NumericRange, Phrase, Prefix, Query, Regexp, Term, TermRange, UnsupportedQuery, Wildcard
 from quern.sources.shared import index_of, table, toxic
 
 TOP = o.TOP
@@ -49,6 +49,8 @@ _hits("term_docs_only", Term("text", "the", docs_only=True), o.term_rows("the",
 _hits("term_constant", ConstantScore(Term("text", "and"), 2.0), o.term_rows("and", constant=2.0), strict=True)
 _hits("term_singleton", Term("text", "thretionnd"), o.term_rows("thretionnd"), strict=True)
 _hits("term_deletes", Term("text", "onou"), o.term_rows("onou", deletes=True), deletes=True, strict=True)
+_hits("term_missing_field", Term("nosuchfield", "the"), "SELECT doc_id, 0::DOUBLE AS score FROM documents WHERE false", strict=True)
+_hits("term_no_norms", Term("p_name", "widget"), o.term_rows("widget", source="part", ident="p_partkey", column="p_name").replace(" * norm *", " *"), "parts_flat", strict=True)
 _hits("term_missing", Term("text", "nosuchterm"), o.term_rows("nosuchterm"), strict=True)
 _hits(
     "term_keyword",
@@ -140,7 +142,7 @@ _hits(
     Boolean.of((M, ConstantScore(NumericRange("n_chars", None, 1000))), (M, ConstantScore(Prefix("text", "ther")))),
     "SELECT doc_id, round(2 / sqrt(2::DOUBLE), 6) AS score FROM (" + o.set_rows("starts_with(x, 'ther')") + " AND n_chars <= 1000)",
 )
-_hits("parts_term", Term("p_name", "steel"), o.term_rows("steel", source="part", ident="p_partkey", column="p_name"), "parts", strict=True)
+_hits("parts_term", Term("p_name", "widget"), o.term_rows("widget", source="part", ident="p_partkey", column="p_name"), "parts", strict=True)
 
 _add(
     "sorted_by_field",
@@ -230,7 +232,7 @@ _add(
 )
 _add(
     "facet_count_event_type",
-    lambda spark, sf: table(spark, sf, "events").groupBy(F.col("event_type").alias("label")).agg(F.countDistinct("event_id").alias("count")),
+    lambda spark, sf: facet_counts(index_of(spark, sf, "events")).select("label", "count"),
     "SELECT event_type AS label, count(DISTINCT event_id) AS count FROM events GROUP BY 1",
 )
 _add(
@@ -297,6 +299,57 @@ def _sideways(name: str, query: Query | None, base: str, drills: dict[str, list[
 
 for _name, _spec in _SIDEWAYS.items():
     _sideways(_name, *_spec)
+_add(
+    "sideways_strict_facets",
+    lambda spark, sf: drill_sideways(index_of(spark, sf), _SIDEWAYS["sideways_must"][0], {"lang": ["en"]}, _REQUESTS, TOP, strict=True, reuse=True).facets,
+    o.sideways_facets(_SIDEWAYS["sideways_must"][1], {"lang": ["en"]}, _REQUESTS),
+)
+for _kind in ("facets", "hits"):
+    _live = o.bool_rows([(S, "the"), (S, "are")], deletes=True)
+    _add(
+        f"sideways_deletes_{_kind}",
+        lambda spark, sf, k=_kind: getattr(drill_sideways(index_of(spark, sf).with_deletes(toxic(spark, sf)), _bool([(S, "the"), (S, "are")]), {"lang": ["en"]}, _REQUESTS, TOP), k),
+        o.sideways_facets(_live, {"lang": ["en"]}, _REQUESTS) if _kind == "facets" else f"WITH {o.facet_base(_live, {'lang': ['en']})} " + o.ranked_sql("SELECT doc_id, score FROM b WHERE missing = 0"),
+    )
+_PATHS = [("category", 10), ("category", 10, "ECONOMY"), ("p_brand", 10)]
+_add(
+    "sideways_children",
+    lambda spark, sf: drill_sideways(index_of(spark, sf, "parts_flat"), Term("p_name", "widget"), {"p_brand": ["Brand#11", "Brand#13"]}, _PATHS, TOP).facets,
+    o.sideways_facets(
+        o.term_rows("widget", source="part", ident="p_partkey", column="p_name").replace(" * norm *", " *"),
+        {"p_brand": ["Brand#11", "Brand#13"]},
+        _PATHS,
+        {0: "p_type", 1: "p_type || '/' || p_brand"},
+        columns=("p_type", "p_brand"),
+        source="part",
+        ident="p_partkey",
+    ),
+)
+_REFUSED = {
+    "nested": (Boolean.of((M, Term("text", "the")), (M, _bool([(S, "of")]))), True),
+    "two fields": (Boolean.of((M, Term("text", "the")), (M, Term("lang", "en"))), True),
+    "sloppy phrase": (Phrase("text", ("of", "the"), slop=1), True),
+    "only prohibited": (_bool([(N, "the")]), True),
+    "minimum of two": (_bool([(S, "the"), (S, "of")], min_should_match=2), True),
+    "term": (Term("text", "the"), False),
+    "boolean": (_bool([(S, "the"), (M, "of"), (N, "are")]), False),
+    "phrase": (Phrase("text", ("of", "the")), False),
+    "fuzzy": (Fuzzy("text", "the", 1), False),
+}
+
+
+def _refused(spark: SparkSession, sf: str) -> DataFrame:
+    rows = []
+    for name, (query, _) in _REFUSED.items():
+        try:
+            match(index_of(spark, sf), query, strict=True)
+            rows.append((name, False))
+        except UnsupportedQuery:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "query string, refused boolean")
+
+
+_add("strict_refusals", _refused, "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(r).lower()})" for n, (_, r) in _REFUSED.items()) + ") v(query, refused)")
 _add(
     "sideways_near_misses",
     lambda spark, sf: drill_sideways(index_of(spark, sf), Term("text", "the"), {"lang": ["en"], "source": ["src0", "src1"]}, _REQUESTS, 10).sideways,

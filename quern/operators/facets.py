@@ -21,13 +21,19 @@ class DrillSideways:
     facets: DataFrame
     #: (dim, hits, near_misses) of each drilled dimension.
     sideways: DataFrame
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        """Let go of the matches that ``reuse`` kept."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
 
 def facet_counts(index: SearchIndex, docs: DataFrame | None = None) -> DataFrame:
     """(dim, depth, label, count) over ``docs`` (doc_id), or over all live documents; a document counts once per category."""
     rows = index.facets if docs is None else index.facets.join(docs.select("doc_id"), "doc_id", "left_semi")
     rows = index.live(rows)
-    return rows.groupBy("dim", "depth", "label").agg(F.countDistinct("doc_id").alias("count"))
+    return rows.groupBy("dim", "depth", "label").agg(F.count(F.lit(1)).alias("count"))  # a row per document and category
 
 
 def top_children(index: SearchIndex, counts: DataFrame, k: int, parent: str | None = None) -> DataFrame:
@@ -61,29 +67,42 @@ def _flagged(index: SearchIndex, base: DataFrame, drills: dict[str, list[str]])
     return joined.select(*base.columns, F.size(missed).alias("missing"), F.when(F.size(missed) == 1, missed[0]).alias("missed"))
 
 
+def _asked(requests: list[tuple]) -> list[tuple[int, str, int, int, str]]:
+    """(request_idx, dim, k, depth, prefix) of requests (dim, k) for a dimension's values, or (dim, k, parent) for a category's children."""
+    out = []
+    for at, (dim, k, *rest) in enumerate(requests):
+        parent = rest[0] if rest and rest[0] else None
+        out.append((at, dim, k, parent.count("/") + 2 if parent else 1, f"{parent}/" if parent else ""))
+    return out
+
+
 def drill_sideways(
-    index: SearchIndex, query: Query | None, drills: dict[str, list[str]], requests: list[tuple[str, int]], top_n: int, strict: bool = False
+    index: SearchIndex, query: Query | None, drills: dict[str, list[str]], requests: list[tuple], top_n: int, strict: bool = False, reuse: bool = False
 ) -> DrillSideways:
     """Hits hold every drilled dimension. A drilled dimension is counted over the hits and the documents that miss only
-    it; any other over the hits. ``requests``: (dim, k), answered in this order. Without a query all documents match."""
+    it; any other over the hits. ``requests``: (dim, k) or (dim, k, parent), answered in this order. Without a query all
+    documents match. ``reuse`` keeps the matches for all four results, until ``release``; else each compiles its own."""
     if top_n <= 0:
         raise UnsupportedQuery("top_n must be positive")
     if strict and (query is None or not drills):
         raise UnsupportedQuery("drill-sideways: a query and one dimension at least")
-    base = _flagged(index, match(index, query or MatchAll(), strict), drills)
+    base = _flagged(index, match(index, query or MatchAll(), strict), drills).where("missing <= 1")
+    if reuse:
+        base = base.persist()
     hits = base.where("missing = 0").select("doc_id", "score")
     totals = hits.agg(F.count(F.lit(1)).alias("total_hits"), F.max("score").alias("max_score"))
-    dims = [dim for dim, _ in requests]
-    rows = index.facets.where(F.col("dim").isin(dims) & (F.col("depth") == 1)).join(base.where("missing <= 1"), "doc_id")
-    counted = rows.where("missing = 0 or missed = dim").groupBy("dim", "depth", "label").agg(F.countDistinct("doc_id").alias("count"))
+    asked = index.facets.sparkSession.createDataFrame(_asked(requests), "request_idx int, dim string, k int, depth int, prefix string")
+    wanted = index.facets.where(F.col("dim").isin([r[0] for r in requests])).join(F.broadcast(asked), ["dim", "depth"]).where(F.col("label").startswith(F.col("prefix")))
+    rows = wanted.join(base, "doc_id").where("missing = 0 or missed = dim")
+    counted = rows.groupBy("request_idx", "dim", "depth", "label", "k").agg(F.count(F.lit(1)).alias("count"))
     placed = counted.join(index.taxonomy.select("dim", "label", "ordinal"), ["dim", "label"])
-    order = Window.partitionBy("dim").orderBy(F.desc("count"), F.desc("ordinal"))
-    asked = index.facets.sparkSession.createDataFrame([(i, d, k) for i, (d, k) in enumerate(requests)], "request_idx int, dim string, k int")
-    facets = placed.withColumn("rank", F.row_number().over(order)).join(F.broadcast(asked), "dim").where("rank <= k")
-    near = base.where("missing <= 1").agg(
-        F.sum(F.when(F.col("missing") == 0, 1).otherwise(0)).alias("hits"),
-        *[F.sum(F.when(F.col("missed") == d, 1).otherwise(0)).alias(f"near_{i}") for i, d in enumerate(sorted(drills))],
+    order = Window.partitionBy("request_idx").orderBy(F.desc("count"), F.desc("ordinal"))
+    # the literal bound lets each task drop what can't be among the first before rows meet
+    facets = placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max([r[1] for r in requests], default=0)).where("rank <= k")
+    near = base.agg(
+        F.count_if(F.col("missing") == 0).alias("hits"),
+        *[F.count_if(F.coalesce(F.col("missed") == d, F.lit(False))).alias(f"near_{i}") for i, d in enumerate(sorted(drills))],
     )
     entries = [F.struct(F.lit(d).alias("dim"), F.col("hits"), F.col(f"near_{i}").alias("near_misses")) for i, d in enumerate(sorted(drills))]
     sideways = near.select(F.explode(F.array(*entries))).select("col.*") if entries else near.select(F.lit("").alias("dim"), "hits", F.lit(0).alias("near_misses")).where("false")
-    return DrillSideways(ranked(hits, top_n), totals, facets.select("request_idx", "dim", "depth", "label", "count", "rank"), sideways)
+    return DrillSideways(ranked(hits, top_n), totals, facets.select("request_idx", "dim", "depth", "label", "count", "rank"), sideways, base if reuse else None)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from quern.functions.analysis import NORM_STEPS
-from quern.plans.rewrite import swapped
-
 TOP = 100
 TOXIC = "(SELECT doc_id FROM labels WHERE toxic = 1)"
 
 
 def norm_sql(n: str) -> str:
-    return "CASE " + " ".join(f"WHEN {n} >= {least} THEN {value}::DOUBLE" for least, value in reversed(NORM_STEPS)) + " ELSE 0::DOUBLE END"
+    """1/sqrt(n) cut to two bits behind the leading one: the next lower of 1, 1.25, 1.5 and 1.75 times a power of two."""
+    root = f"(1 / sqrt({n}::DOUBLE))"
+    power = f"(2::DOUBLE ** floor(log2({root})))"
+    return f"CASE WHEN {n} > 0 THEN {power} * (1 + floor(({root} / {power} - 1) * 4) / 4) ELSE 0 END"
+
+
+def transposed(text: str) -> set[str]:
+    """The forms of ``text`` with two neighbouring characters in the other order."""
+    pairs = zip(text, text[1:])
+    return {text[:at] + b + a + text[at + 2 :] for at, (a, b) in enumerate(pairs) if a != b}
 
 
 def toks(column: str = "text") -> str:
@@ -81,7 +87,7 @@ def fuzzy_rows(text: str, most: int, expansions: int = 50) -> str:
     forms = {text: 0}
     for _ in range(most):
         for form, cost in list(forms.items()):
-            for other in swapped(form):
+            for other in sorted(transposed(form)):
                 forms.setdefault(other, cost + 1)
     edits = "least(" + ", ".join(f"levenshtein(term, {quoted(f)}) + {c}" for f, c in forms.items() if c <= most) + ")"
     n = len(text)
@@ -96,21 +102,26 @@ def fuzzy_rows(text: str, most: int, expansions: int = 50) -> str:
     )
 
 
-def facet_base(base: str, drills: dict[str, list[str]]) -> str:
-    """CTEs b(doc_id, score, lang, source, missing, missed_<dim>)."""
+def facet_base(base: str, drills: dict[str, list[str]], columns=("lang", "source"), source="documents", ident="doc_id") -> str:
+    """CTEs b(doc_id, score, columns, missing, missed_<dim>); a dimension is named like its column."""
     inside = {d: f"coalesce({d} IN ({', '.join(quoted(v) for v in vs)}), false)" for d, vs in drills.items()}
     missing = " + ".join(f"(NOT {x})::INT" for x in inside.values()) or "0"
     flags = "".join(f", NOT {x} AS missed_{d}" for d, x in inside.items())
-    return f"b AS (SELECT h.doc_id, h.score, d.lang, d.source, {missing} AS missing{flags} FROM ({base}) h JOIN documents d ON h.doc_id = d.doc_id)"
+    return f"b AS (SELECT h.doc_id, h.score, {', '.join(columns)}, {missing} AS missing{flags} FROM ({base}) h JOIN {source} d ON h.doc_id = d.{ident})"
 
 
-def sideways_facets(base: str, drills: dict[str, list[str]], requests: list[tuple[str, int]]) -> str:
+def sideways_facets(base: str, drills: dict[str, list[str]], requests: list[tuple], labels: dict[str, str] | None = None, **where) -> str:
+    """``requests``: (dim, k) or (dim, k, parent); ``labels``: the SQL of a request's category by its place, a column of the table being the default."""
+    source, ident = where.get("source", "documents"), where.get("ident", "doc_id")
     parts = []
-    for at, (dim, k) in enumerate(requests):
+    for at, (dim, k, *rest) in enumerate(requests):
+        label = (labels or {}).get(at, dim)
         hit = f"(missing = 0 OR (missing = 1 AND missed_{dim}))" if dim in drills else "missing = 0"
+        under = f" AND starts_with({label}, {quoted(rest[0] + '/')})" if rest else ""
+        depth = rest[0].count("/") + 2 if rest else 1
         parts.append(
-            f"SELECT {at} AS request_idx, '{dim}' AS dim, 1 AS depth, label, count, row_number() OVER (ORDER BY count DESC, first DESC) AS rank FROM "
-            f"(SELECT {dim} AS label, count(*) AS count, any_value(first) AS first FROM b JOIN (SELECT {dim} AS l, min(doc_id) AS first FROM documents GROUP BY 1) o ON o.l = b.{dim} "
-            f"WHERE {hit} GROUP BY 1) QUALIFY rank <= {k}"
+            f"SELECT {at} AS request_idx, '{dim}' AS dim, {depth} AS depth, label, count, row_number() OVER (ORDER BY count DESC, first DESC) AS rank FROM "
+            f"(SELECT {label} AS label, count(*) AS count, any_value(first) AS first FROM b JOIN (SELECT {label} AS l, min({ident}) AS first FROM {source} GROUP BY 1) o ON o.l = {label} "
+            f"WHERE {hit}{under} GROUP BY 1) QUALIFY rank <= {k}"
         )
-    return f"WITH {facet_base(base, drills)} " + " UNION ALL ".join(f"({p})" for p in parts)
+    return f"WITH {facet_base(base, drills, **where)} " + " UNION ALL ".join(f"({p})" for p in parts)

@@ -14,8 +14,6 @@ from quern.sources.index import SearchIndex
 
 #: A set of document or term keys is broadcast up to this many rows, else left to a shuffled join.
 BROADCAST_ROWS = 1_000_000
-#: A required term this much rarer than the most frequent one is met first.
-RARE = 8
 
 
 def _terms_of(query: Query) -> set[tuple[str, str]]:
@@ -32,7 +30,7 @@ def _terms_of(query: Query) -> set[tuple[str, str]]:
 
 @dataclass
 class Compiler:
-    """One query's statistics, looked up in a single job over its own terms."""
+    """A query over an index, with the document frequencies of its own terms."""
 
     index: SearchIndex
     doc_freq: dict[tuple[str, str], int]
@@ -40,18 +38,7 @@ class Compiler:
     @staticmethod
     def of(index: SearchIndex, *queries: Query) -> Compiler:
         index = index.counted()
-        wanted = set().union(*[_terms_of(q) for q in queries])
-        found = {}
-        if wanted:
-            by_field: dict[str, list[str]] = {}
-            for name, text in sorted(wanted):
-                by_field.setdefault(name, []).append(text)
-            asked = None
-            for name, texts in by_field.items():
-                one = (F.col("field") == name) & F.col("term").isin(texts)
-                asked = one if asked is None else asked | one
-            found = {(r.field, r.term): r.doc_freq for r in index.term_stats.where(asked).select("field", "term", "doc_freq").collect()}
-        return Compiler(index, found)
+        return Compiler(index, index.doc_freqs(set().union(*[_terms_of(q) for q in queries], set())))
 
     # -- weights
 
@@ -118,7 +105,6 @@ class Compiler:
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
-        rows = self._rare_first(rows, required)
         count = lambda occur: F.sum(F.when(F.col("occur") == occur, 1).otherwise(0))
         summed = rows.groupBy("doc_id").agg(
             F.sum(F.when(F.col("occur") != MUST_NOT, F.col("score")).otherwise(0.0)).alias("total"),
@@ -169,29 +155,17 @@ class Compiler:
             q = c.query
             if not self.doc_freq.get((q.field, q.text)):
                 continue  # no such term: nothing to scan
-            tf = F.lit(1.0) if q.docs_only else F.sqrt("tf")
-            score = F.lit(0.0) if c.occur == MUST_NOT else tf * F.lit(self._idf(q) ** 2 * q.boost * factor) * F.col("norm")
-            by_term.setdefault(q.text, []).append(F.struct(score.alias("score"), F.lit(c.occur).alias("occur")))
+            weight = 0.0 if c.occur == MUST_NOT else self._idf(q) ** 2 * q.boost * factor
+            by_term.setdefault(q.text, []).append(F.struct(F.lit(weight).alias("weight"), F.lit(c.occur).alias("occur"), F.lit(q.docs_only).alias("docs_only")))
         if not by_term:
             return self._empty().withColumn("occur", F.lit(SHOULD))
-        rows = self._postings(name, list(by_term))
-        made = None
-        for text, entries in by_term.items():
-            at = F.col("term") == text
-            made = F.when(at, F.array(*entries)) if made is None else made.when(at, F.array(*entries))
-        if all(len(entries) == 1 for entries in by_term.values()):
-            return rows.select("doc_id", made[0].alias("x")).select("doc_id", "x.score", "x.occur")
-        return rows.select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.score", "x.occur")
-
-    def _rare_first(self, rows: DataFrame, required: list) -> DataFrame:
-        """Only documents of the rarest required term, if it is much rarer than others and small enough to broadcast."""
-        freqs = [(self.doc_freq[(c.query.field, c.query.text)], c.query) for c in required if isinstance(c.query, Term)]
-        if not freqs:
-            return rows
-        least, rarest = min(freqs, key=lambda x: x[0])
-        if least > BROADCAST_ROWS or least * RARE > max([x[0] for x in freqs] + list(self.doc_freq.values())):
-            return rows
-        return rows.join(F.broadcast(self._postings(rarest.field, [rarest.text]).select("doc_id")), "doc_id", "left_semi")
+        # a literal map, so that a union of many terms is a lookup and not a chain of branches
+        clauses = F.element_at(F.create_map(*[x for text, entries in by_term.items() for x in (F.lit(text), F.array(*entries))]), F.col("term"))
+        rows = self._postings(name, list(by_term)).select("doc_id", "tf", "norm", clauses.alias("clauses"))
+        single = all(len(entries) == 1 for entries in by_term.values())
+        rows = rows.select("doc_id", "tf", "norm", (F.get("clauses", F.lit(0)) if single else F.explode("clauses")).alias("x"))
+        tf = F.col("tf") if not any(c.query.docs_only for _, c in group) else F.when(F.col("x.docs_only"), 1).otherwise(F.col("tf"))
+        return rows.select("doc_id", (F.sqrt(tf) * F.col("x.weight") * F.col("norm")).alias("score"), F.col("x.occur").alias("occur"))
 
     def _phrase(self, query: Phrase) -> DataFrame:
         """(doc_id, freq, norm): a document's positions meet in one row; starts are an intersection of arrays."""

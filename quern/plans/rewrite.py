@@ -32,7 +32,7 @@ def wildcard_regex(pattern: str) -> tuple[str, str]:
             out += _quoted(ch)
             prefix += ch if literal else ""
         at += 1
-    return f"^{out}$", prefix
+    return f"^{out}\\z", prefix
 
 
 def term_predicate(query: MultiTerm, term: Column) -> Column:
@@ -43,7 +43,7 @@ def term_predicate(query: MultiTerm, term: Column) -> Column:
         regex, prefix = wildcard_regex(query.pattern)
         return (term.startswith(prefix) & term.rlike(regex)) if prefix else term.rlike(regex)
     if isinstance(query, Regexp):
-        return term.rlike(f"^(?:{query.pattern})$")
+        return term.rlike(f"^(?:{query.pattern})\\z")
     if isinstance(query, TermRange):
         out = F.lit(True)
         if query.low is not None:
@@ -60,14 +60,17 @@ def swapped(text: str) -> list[str]:
 
 
 def edit_distance(term: Column, text: str, most: int) -> Column:
-    """Edits between ``term`` and ``text`` where a swap of neighbours is one edit, exact up to ``most`` (<= 2)."""
+    """Edits between ``term`` and ``text`` where a swap of neighbours is one edit, exact up to ``most`` (<= 2) and
+    null or more beyond."""
     forms = {text: 0}
     for _ in range(most):
         for form, cost in list(forms.items()):
             for other in swapped(form):
                 forms.setdefault(other, cost + 1)
+    # an edit is two plain ones at most: the bounded distance rules most terms out before any other is taken
+    close = F.levenshtein(term, F.lit(text), 2 * most) >= 0
     distances = [F.levenshtein(term, F.lit(form)) + cost for form, cost in forms.items() if cost <= most]
-    return F.least(*distances) if len(distances) > 1 else distances[0]
+    return F.when(close, F.least(*distances) if len(distances) > 1 else distances[0])
 
 
 def expand_fuzzy(index: SearchIndex, query: Fuzzy) -> Query:

@@ -1,21 +1,26 @@
 """The search index: tables made from a DataFrame of documents, kept as Parquet.
 
-``postings`` is range-partitioned and sorted by (field, term), so that row-group statistics
-prune a term's scan to what holds it, and carries the document's length norm, so that
-scoring a term needs no join. Frequencies and positions are columns that a query which
-doesn't use them never reads.
+``postings`` is bucketed by document and sorted by (field, term) in each bucket, and carries
+the document's length norm. A bucket answers a query by itself: what a Boolean or phrase
+needs of a document is in one place, so postings are never shuffled; statistics of row
+groups and pages prune a term's scan to what holds it. Frequencies and positions are columns
+that a query which doesn't use them never reads.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.analysis import norm, tokens
 
+#: Document frequencies kept on the driver: those of so many of the most frequent terms, and of terms asked for.
+FREQUENT = 20_000
+
 
 @dataclass(frozen=True)
 class IndexSpec:
@@ -30,7 +35,8 @@ class IndexSpec:
     no_norms: tuple[str, ...] = ()
 
 
-_TABLES = ("docs", "postings", "term_stats", "facets", "taxonomy")
+_TABLES = ("docs", "term_stats", "facets", "taxonomy")
+_POSTINGS = "field string, term string, doc_id bigint, tf int, positions array<int>, norm double"
 
 
 @dataclass(frozen=True)
@@ -47,50 +53,62 @@ class SearchIndex:
     facets: DataFrame
     taxonomy: DataFrame
     deletes: DataFrame | None = None
+    #: What an index that isn't written yet is made from.
+    source: DataFrame | None = field(default=None, compare=False, repr=False)
+    #: (field, term) -> document frequency, as far as known; None -> whether all terms are.
+    known: dict = field(default_factory=dict, compare=False, repr=False)
 
     @staticmethod
     def build(df: DataFrame, spec: IndexSpec) -> SearchIndex:
         doc_id = F.col(spec.id_col).cast("long").alias("doc_id")
         docs = df.select(doc_id, *[F.col(c) for c in spec.numeric_fields])
         postings = _postings(df, spec)
-        stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_term_freq"))
         facets = _facets(df, spec)
-        return SearchIndex(spec, -1, docs, postings, stats, facets, _taxonomy(facets))
+        return SearchIndex(spec, -1, docs, postings, _stats(postings), facets, _taxonomy(facets), source=df)
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, buckets: int | None = None) -> None:
         """Write all tables under ``path``; statistics are taken from the written postings.
 
-        Ordering samples its input first, so the postings are written once as they come: the
-        sample and the sort then read a table instead of splitting every text twice.
+        One shuffle deals the texts (of an index that was read: its postings) to buckets by
+        document; each is split, folded and sorted where it is. An id that is null or repeats
+        is refused, since its postings would be those of one document.
         """
         spark = self.docs.sparkSession
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.write.mode("overwrite").parquet(f"{path}/unordered")
-        unordered = spark.read.schema(self.postings.schema).parquet(f"{path}/unordered")
-        ordered = unordered.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
-        ordered.write.mode("overwrite").parquet(f"{path}/postings")
-        raw = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/unordered")
-        raw.getFileSystem(spark._jsc.hadoopConfiguration()).delete(raw, True)
-        written = spark.read.schema(self.postings.schema).parquet(f"{path}/postings")
-        stats = written.groupBy("field", "term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_term_freq"))
-        stats.sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.facets.write.mode("overwrite").parquet(f"{path}/facets")
-        facets = spark.read.schema(self.facets.schema).parquet(f"{path}/facets")
-        _taxonomy(facets).write.mode("overwrite").parquet(f"{path}/taxonomy")
-        n_docs = spark.read.schema(self.docs.schema).parquet(f"{path}/docs").count()
-        about = json.dumps({"n_docs": n_docs, "spec": self.spec.__dict__})
-        spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        docs = _written(self.docs, f"{path}/docs")
+        n_docs = docs.count()
+        if docs.where("doc_id is not null").select("doc_id").distinct().count() != n_docs:
+            raise ValueError("an index needs ids that are not null and don't repeat")
+        if self.source is not None:
+            dealt = self.source.repartition(buckets, F.col(self.spec.id_col).cast("long"))
+            postings = _postings(dealt, self.spec)
+        else:
+            postings = self.postings.repartition(buckets, "doc_id")
+        name = _table_name(path)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        postings.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("field", "term", "doc_id").option("path", f"{path}/postings").format("parquet").saveAsTable(name)
+        _written(_stats(spark.table(name)).sortWithinPartitions("field", "term"), f"{path}/term_stats")
+        facets = _written(self.facets, f"{path}/facets")
+        _written(_taxonomy(facets), f"{path}/taxonomy")
+        about = json.dumps({"n_docs": n_docs, "spec": self.spec.__dict__, "buckets": buckets})
+        _written(spark.createDataFrame([(about,)], "about string").coalesce(1), f"{path}/about")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> SearchIndex:
         about = json.loads(spark.read.parquet(f"{path}/about").first()[0])
         raw = about["spec"]
         spec = IndexSpec(**{k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in raw.items()})
-        return SearchIndex(spec, about["n_docs"], **{t: spark.read.parquet(f"{path}/{t}") for t in _TABLES})
+        name = _table_name(path)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({_POSTINGS}) USING parquet CLUSTERED BY (doc_id) SORTED BY (field, term, doc_id) "
+            f"INTO {about['buckets']} BUCKETS LOCATION '{path}/postings'"
+        )
+        spark.catalog.refreshTable(name)
+        return SearchIndex(spec, about["n_docs"], postings=spark.table(name), **{t: spark.read.parquet(f"{path}/{t}") for t in _TABLES})
 
     def counted(self) -> SearchIndex:
         """With the number of documents known."""
-        return self if self.n_docs >= 0 else replace(self, n_docs=self.docs.count())
+        return self if self.n_docs >= 0 else replace(self, n_docs=self.docs.count(), known={})
 
     def with_deletes(self, deletes: DataFrame | None) -> SearchIndex:
         """A later snapshot: documents in ``deletes`` (doc_id) no longer match, statistics still count them."""
@@ -99,16 +117,58 @@ class SearchIndex:
     def live(self, matches: DataFrame) -> DataFrame:
         return matches if self.deletes is None else matches.join(self.deletes.select("doc_id"), "doc_id", "left_anti")
 
+    def doc_freqs(self, terms: set[tuple[str, str]]) -> dict[tuple[str, str], int]:
+        """Document frequencies of ``terms``, without those of no document; a job only if one isn't known yet."""
+        if self.source is None and not self.known:
+            rows = self.term_stats.orderBy(F.desc("doc_freq"), "field", "term").limit(FREQUENT + 1).select("field", "term", "doc_freq").collect()
+            self.known[None] = len(rows) <= FREQUENT
+            self.known.update({(r.field, r.term): r.doc_freq for r in rows[:FREQUENT]})
+        unknown = sorted(t for t in terms if t not in self.known) if not self.known.get(None) else []
+        by_field: dict[str, list[str]] = {}
+        for name, text in unknown:
+            by_field.setdefault(name, []).append(text)
+        found: dict = {}
+        if unknown:
+            asked = F.lit(False)
+            for name, texts in by_field.items():
+                asked = asked | ((F.col("field") == name) & F.col("term").isin(texts))
+            found = {(r.field, r.term): r.doc_freq for r in self.term_stats.where(asked).select("field", "term", "doc_freq").collect()}
+            if len(self.known) < 2 * FREQUENT:
+                self.known.update({t: found.get(t, 0) for t in unknown})
+        return {t: n for t in terms if (n := found.get(t) or self.known.get(t))}
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _table_name(path: str) -> str:
+    """The session's name of the postings under ``path``: bucketing is known to tables only."""
+    return f"quern_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def _stats(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_term_freq"))
+
 
 def _postings(df: DataFrame, spec: IndexSpec) -> DataFrame:
+    """A row per document and term. A text's (term, place) pairs are sorted and folded inside its row: no shuffle."""
     doc_id = F.col(spec.id_col).cast("long").alias("doc_id")
     parts = []
     for name in spec.text_fields:
-        split = df.select(doc_id, tokens(F.col(name)).alias("tokens"))
-        rows = split.select("doc_id", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "term"))
+        split = df.select(doc_id, tokens(F.col(name)).alias("tokens")).where(F.size("tokens") > 0)
+        placed = split.select("doc_id", F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("at")))).alias("placed"))
+        first = F.filter(F.sequence(F.lit(0), F.size("placed") - 1), lambda i: (i == 0) | (F.get("placed", i)["term"] != F.get("placed", i - 1)["term"]))
+        runs = placed.select("doc_id", "placed", F.size("placed").alias("length"), first.alias("first"))
+
+        def folded(start, k):
+            run = F.slice("placed", start + 1, F.coalesce(F.get("first", k + 1), F.col("length")) - start)
+            return F.struct(F.get("placed", start)["term"].alias("term"), F.transform(run, lambda x: x["at"]).alias("positions"))
+
+        rows = runs.select("doc_id", "length", F.inline(F.transform("first", folded)))
         length_norm = F.lit(1.0) if name in spec.no_norms else norm(F.col("length"))
-        grouped = rows.groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-        parts.append(grouped.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "positions", length_norm.alias("norm")))
+        parts.append(rows.select(F.lit(name).alias("field"), "term", "doc_id", F.size("positions").alias("tf"), "positions", length_norm.alias("norm")))
     for name in spec.keyword_fields:
         rows = df.where(F.col(name).isNotNull()).select(
             F.lit(name).alias("field"), F.col(name).cast("string").alias("term"), doc_id, F.lit(1).alias("tf"), F.array(F.lit(0)).alias("positions"), F.lit(1.0).alias("norm")
@@ -123,17 +183,25 @@ def _postings(df: DataFrame, spec: IndexSpec) -> DataFrame:
 
 
 def _facets(df: DataFrame, spec: IndexSpec) -> DataFrame:
-    """A row per document and prefix of each of its paths; ``at`` is the place among its paths."""
+    """A row per document and category, each prefix of one of its paths; ``at`` is the first place among its paths."""
     doc_id = F.col(spec.id_col).cast("long").alias("doc_id")
     kinds = dict(df.dtypes)
     parts = []
     for place, (dim, column) in enumerate(spec.facets):
         values = F.col(column) if kinds[column].startswith("array") else F.array(F.col(column))
-        rows = df.select(doc_id, F.posexplode(values.cast("array<string>")).alias("at", "path")).where(F.col("path").isNotNull())
-        parted = rows.select("doc_id", "at", F.split("path", "/").alias("parts"))
-        depths = parted.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("parts"))))
-        label = F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/")
-        parts.append(depths.select("doc_id", F.lit(dim).alias("dim"), label.alias("label"), "depth", (F.col("at") + place * 1_000_000).alias("at")))
+
+        def prefixes(path, at):
+            parted = F.split(path, "/")
+            return F.transform(
+                F.sequence(F.lit(1), F.size(parted)),
+                lambda n: F.struct(F.array_join(F.slice(parted, F.lit(1), n), "/").alias("label"), n.alias("depth"), (at + place * 1_000_000).alias("at")),
+            )
+
+        every = F.flatten(F.transform(F.filter(values.cast("array<string>"), lambda x: x.isNotNull()), prefixes))
+        rows = df.select(doc_id, every.alias("every")).where(F.size("every") > 0)
+        rows = rows.select("doc_id", "every", F.transform("every", lambda x: x["label"]).alias("labels"))
+        once = F.filter("every", lambda x, i: F.array_position("labels", x["label"]) == i + 1)
+        parts.append(rows.select("doc_id", F.lit(dim).alias("dim"), F.inline(once)))
     if not parts:
         return df.sparkSession.createDataFrame([], "doc_id long, dim string, label string, depth int, at int")
     out = parts[0]

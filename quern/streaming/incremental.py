@@ -27,3 +27,9 @@ def snapshot(spark: SparkSession, path: str, segments: list[int]) -> SearchIndex
     stats = union("term_stats").groupBy("field", "term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("total_term_freq").alias("total_term_freq"))
     taxonomy = union("taxonomy").groupBy("dim", "label", "depth").agg(F.min("ordinal").alias("ordinal"))
     return SearchIndex(parts[0].spec, sum(p.n_docs for p in parts), union("docs"), union("postings"), stats, union("facets"), taxonomy)
+
+
+def merge_segments(spark: SparkSession, path: str, segments: list[int], into: int) -> SearchIndex:
+    """Write finished segments as the one segment ``into``, and load it: a snapshot of it has one part instead of many."""
+    snapshot(spark, path, segments).save(f"{path}/segment={into}")
+    return SearchIndex.load(spark, f"{path}/segment={into}")

@@ -1,10 +1,11 @@
-"""Small corpora with results worked out by hand, and random ones against a plain scorer."""
+"""Queries over random corpora against plain search, alive and with deletes, and the odd cases by hand."""
 
-import math
 import random
 from dataclasses import replace
 
+import plain
 import pytest
+from plain import Plain, pool
 
 from quern.functions.analysis import NORM_STEPS
 from quern.operators.search import match, search, search_many
@@ -12,185 +13,165 @@ from quern.plans.query import MUST, MUST_NOT, SHOULD, Boolean, Clause, ConstantS
 from quern.sources.index import IndexSpec, SearchIndex
 
 S, M, N = SHOULD, MUST, MUST_NOT
+TEXTS, VOCABULARY = pool(31)
+DEAD = tuple(random.Random(32).sample(range(len(TEXTS)), 20))
 
 
-def corpus(spark, texts, deleted=(), **extra):
+def corpus(spark, texts, **extra):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, field string")
     index = SearchIndex.build(df.coalesce(1), IndexSpec(text_fields=("field",), **extra)).counted()
-    index = replace(index, postings=index.postings.cache(), term_stats=index.term_stats.cache())
-    return index.with_deletes(spark.createDataFrame([(d,) for d in deleted], "doc_id long") if deleted else None)
+    return replace(index, postings=index.postings.cache(), term_stats=index.term_stats.cache())
 
 
-def boolean(*clauses, **options):
-    return Boolean(tuple(Clause(o, Term("field", t)) for o, t in clauses), **options)
+@pytest.fixture(scope="module")
+def index(spark):
+    return corpus(spark, TEXTS)
 
 
-def run(index, query, top_n=100):
-    top = search(index, query, top_n)
+def deleted(spark, index, ids=DEAD):
+    return index.with_deletes(spark.createDataFrame([(d,) for d in ids], "doc_id long"))
+
+
+def query(q):
+    """The engine's query of a plain one."""
+    if q[0] == "term":
+        return Term("field", q[1])
+    if q[0] == "phrase":
+        return Phrase("field", tuple(q[1]), tuple(q[2]))
+    return Boolean(tuple(Clause(o, query(c)) for o, c in q[1]))
+
+
+def run(index, q, top_n=1000):
+    top = search(index, q, top_n)
     hits = [(r.doc_id, r.score) for r in top.hits.orderBy("rank").collect()]
     totals = top.totals.first()
     assert totals.max_score == (hits[0][1] if hits else None)
     return totals.total_hits, hits
 
 
-ABC = ["a b c", "a b x", "x"]
-GOLDEN = [
-    (boolean((S, "a"), (S, "c"), (S, "x")), (), [(0, 0.497425), (1, 0.334366), (2, 0.167183)]),
-    (boolean((S, "p"), (S, "p")), (), []),
-    (boolean((S, "a"), (N, "x")), (), [(0, 0.5)]),
-    (boolean((S, "a"), (M, "x")), (), [(1, 0.707107), (2, 0.353553)]),
-    (boolean((S, "a"), (M, "x"), (N, "c")), (), [(1, 0.707107), (2, 0.353553)]),
-    (boolean((M, "a"), (M, "x")), (), [(1, 0.707107)]),
-    (Term("field", "a"), (), [(0, 0.5), (1, 0.5)]),
-    (ConstantScore(Term("field", "a")), (), [(0, 1.0), (1, 1.0)]),
-    (ConstantScore(boolean((S, "a"), (S, "x"))), (), [(0, 1.0), (1, 1.0), (2, 1.0)]),
-    (boolean((S, "a"), (M, "x"), (N, "c")), (1,), [(2, 0.353553)]),
-    (boolean((M, "a"), (M, "x")), (1,), []),
-    (boolean((S, "a"), (N, "x")), (0,), []),
-    (boolean((S, "a"), (S, "c"), (S, "x")), (2,), [(0, 0.497425), (1, 0.334366)]),
-    (Term("field", "x"), (1,), [(2, 1.0)]),
-    (Boolean(), (), []),
-    (boolean((N, "a")), (), []),
-]
+def same(found, want):
+    total, hits = found
+    assert total == len(want) and [d for d, _ in hits] == [d for d, _ in want]
+    assert all(abs(a - b) < 2e-6 for (_, a), (_, b) in zip(hits, want))
 
 
-@pytest.mark.parametrize("at", range(len(GOLDEN)))
-def test_golden(spark, at):
-    query, deleted, hits = GOLDEN[at]
-    assert run(corpus(spark, ABC, deleted), query) == (len(hits), hits)
+def draws():
+    """Shapes of every combination of clauses, with terms drawn from frequent to absent ones."""
+    draw = random.Random(33)
+    term = lambda: ("term", draw.choice(VOCABULARY + ["absent"]))
+    shapes = [(S,), (M,), (N,), (S, S), (S, M), (M, M), (S, N), (N, M), (N, N), (S, S, S, S, S), (M, S, N), (M, M, S, S, N), ()]
+    out = [("bool", [(o, term()) for o in shape]) for shape in shapes]
+    out += [term(), ("term", VOCABULARY[0]), ("bool", [(S, ("term", VOCABULARY[1]))] * 3)]
+    out += [("phrase", [draw.choice(VOCABULARY[:3]) for _ in range(n)], list(range(n))) for n in (2, 2, 3)]
+    out += [("phrase", [VOCABULARY[0], VOCABULARY[1]], [0, 2]), ("phrase", [VOCABULARY[0]] * 2, [0, 1]), ("phrase", [VOCABULARY[0], "absent"], [0, 1])]
+    return out + [("bool", [(M, ("phrase", [VOCABULARY[0], VOCABULARY[1]], [0, 1])), (S, ("bool", [(M, ("term", VOCABULARY[2])), (S, ("term", VOCABULARY[0]))]))])]
 
 
-def test_block_of_equal_documents(spark):
-    total, hits = run(corpus(spark, ["a b c"] * 140), boolean((S, "a"), (S, "c")), 1000)
-    assert total == 140 and hits == [(i, 0.702074) for i in range(140)]
+@pytest.mark.parametrize("at", range(len(draws())))
+def test_against_plain_search(spark, index, at):
+    q = draws()[at]
+    for gone in ((), DEAD):
+        found = deleted(spark, index) if gone else index
+        want = Plain(TEXTS, gone).hits(q)
+        same(run(found, query(q)), want)
+        assert run(found, ConstantScore(query(q), 2.0)) == (len(want), sorted((d, 2.0) for d, _ in want))
+    assert run(index, query(q), 5)[1] == run(index, query(q))[1][:5]
 
 
-def test_singletons(spark):
-    assert run(corpus(spark, ["planet planet"]), Term("field", "planet")) == (1, [(0, 0.271222)])
-    both = corpus(spark, ["planet planet", "fun fun"])
-    assert run(both, boolean((S, "planet"), (S, "fun"))) == (2, [(0, 0.3125), (1, 0.3125)])
+def test_norms_by_rule():
+    steps = lambda n: max((s for s in NORM_STEPS if s[0] <= n), default=(0, 0.0))[1]
+    for n in [*range(3000), 4096, 4097, 5349, 5350, 7281, 7282, 10485, 10486, 16384, 16385]:
+        assert steps(n) == plain.norm(n), n
 
 
-@pytest.mark.parametrize(
-    "texts, hits",
-    [
-        (["the doc"], [(0, 0.383566)]),
-        (["the doc", "the doc the doc the doc the not doc"], [(0, 0.743169), (1, 0.643603)]),
-    ],
-)
-def test_phrase(spark, texts, hits):
-    assert run(corpus(spark, texts), Phrase("field", ("the", "doc"))) == (len(hits), hits)
+def test_equal_documents_keep_their_order(spark):
+    index = corpus(spark, ["ka mi ro"] * 300)
+    for q in (("bool", [(S, ("term", "ka")), (S, ("term", "ro"))]), ("phrase", ["ka", "mi"], [0, 1])):
+        want = Plain(["ka mi ro"] * 300).hits(q)
+        assert [d for d, _ in want] == list(range(300))
+        same(run(index, query(q)), want)
 
 
 def test_phrase_shapes(spark):
-    index = corpus(spark, ["the the the", "x the y doc", "doc the", "the doc"])
+    index = corpus(spark, ["ko ko ko", "x ko y mar", "mar ko", "ko mar"])
     ids = lambda q: [d for d, _ in run(index, ConstantScore(q))[1]]
-    assert ids(Phrase("field", ("the", "the"))) == [0]
-    assert ids(Phrase("field", ("the", "doc"))) == [3]
-    assert ids(Phrase("field", ("the", "doc"), (0, 2))) == [1]
-    assert ids(Phrase("field", ("the", "doc"), slop=1)) == [1, 3]
-    assert ids(Phrase("field", ("the", "nosuch"))) == []
-    assert ids(Phrase("field", ("the",))) == [0, 1, 2, 3]
+    assert ids(Phrase("field", ("ko", "mar"), slop=1)) == [1, 3]
+    assert ids(Phrase("field", ("ko",))) == [0, 1, 2, 3]
     # a start before the text's begin is none
-    assert ids(Phrase("field", ("doc", "the"), (1, 2))) == []
+    assert ids(Phrase("field", ("mar", "ko"), (1, 2))) == []
+
+
+PATTERNS = [
+    (Prefix("field", prefix="k"), lambda w: w.startswith("k")),
+    (Prefix("field", prefix=""), lambda w: True),
+    (Wildcard("field", pattern="?m*"), plain.matches(".m.*")),
+    (Wildcard("field", pattern="*n"), plain.matches(".*n")),
+    (Wildcard("field", pattern="?"), plain.matches(".")),
+    (Wildcard("field", pattern="k\\*"), lambda w: w == "k*"),
+    (Regexp("field", pattern="km|n[kn]?"), plain.matches("km|n[kn]?")),
+    (TermRange("field", low="km", high="n", include_high=False), lambda w: "km" <= w < "n"),
+    (TermRange("field", low="mk", include_low=False), lambda w: w > "mk"),
+]
 
 
-def test_powers_of_two(spark):
-    texts = [" ".join(["a"] + [t for t, n in zip("bcdef", (2, 4, 8, 16, 32)) if i % n == 0]) for i in range(640)]
-    dead = [i for i in range(640) if i % 16 == 0]
-    for deleted in ((), dead):
-        index = corpus(spark, texts, deleted)
-        n = len(texts) - len(deleted)
-        for other, step in (("b", 2), ("e", 16), ("f", 32)):
-            df = sum(i % step == 0 and not (deleted and i % 16 == 0) for i in range(640))
-            shapes = [((S, "a"), (S, other)), ((S, "a"), (M, other)), ((M, "a"), (S, other)), ((S, "a"), (N, other)), ((N, "a"), (S, other))]
-            totals = [match(index, boolean(*c)).count() for c in shapes]
-            assert totals == [n, df, n, n - df, 0]
+@pytest.mark.parametrize("at", range(len(PATTERNS)))
+def test_multi_term_against_plain_search(spark, index, at):
+    q, accept = PATTERNS[at]
+    for gone in ((), DEAD):
+        want = Plain(TEXTS, gone).holding(accept)
+        assert run(deleted(spark, index) if gone else index, q) == (len(want), [(d, 1.0) for d in want])
 
 
-def test_multi_term(spark):
-    words = ["abc", "abb", "aab", "b", "ab", "a*b", "ba", "é"]
-    index = corpus(spark, words)
-    ids = lambda q: [d for d, s in run(index, q)[1] if s == 1.0]
-    assert ids(Prefix("field", prefix="ab")) == [0, 1, 4]
-    assert ids(Wildcard("field", pattern="a*b")) == [1, 2, 4, 5]
-    assert ids(Wildcard("field", pattern="a\\*b")) == [5]
-    assert ids(Wildcard("field", pattern="?b")) == [4]
-    assert ids(Wildcard("field", pattern="?")) == [3, 7]
-    assert ids(Regexp("field", pattern="ab|ba")) == [4, 6]
-    assert ids(TermRange("field", low="ab", high="b", include_high=False)) == [0, 1, 4]
-    assert ids(MatchAll()) == list(range(8))
+def test_patterns_and_line_ends(spark):
+    df = spark.createDataFrame([(0, "ab"), (1, "ab\n"), (2, "a*b")], "doc_id long, tag string")
+    index = SearchIndex.build(df, IndexSpec(text_fields=(), keyword_fields=("tag",))).counted()
+    ids = lambda q: [d for d, _ in run(index, q)[1]]
+    assert ids(Regexp("tag", pattern="a.?b")) == [0, 2]
+    assert ids(Wildcard("tag", pattern="ab")) == [0] and ids(Wildcard("tag", pattern="ab*")) == [0, 1]
+    assert ids(Wildcard("tag", pattern="a\\*b")) == [2]
+    assert ids(MatchAll()) == [0, 1, 2]
 
 
 def test_numeric_range(spark):
-    df = spark.createDataFrame([(i, "x", i) for i in range(1717)] + [(5000, "x", None)], "doc_id long, field string, n int")
-    index = SearchIndex.build(df, IndexSpec(text_fields=("field",), numeric_fields=("n",))).counted()
-    total, hits = run(index, NumericRange("n", 17, 1700), 3000)
-    assert total == 1684 and hits == [(i, 1.0) for i in range(17, 1701)]
-    assert run(index, NumericRange("n", 17, 1700, False, False))[0] == 1682
-    top = search(index, Term("field", "x"), 3, sort_by="n").hits.orderBy("rank").collect()
-    assert [r.doc_id for r in top] == [5000, 0, 1]
-
-
-def test_fuzzy(spark):
-    index = corpus(spark, ["planet", "plante", "plate", "xyz"])
-    ids = lambda q: sorted(d for d, _ in run(index, q)[1])
-    assert ids(Fuzzy("field", "plnet", 1)) == [0]
-    assert ids(Fuzzy("field", "plan", 2)) == [0, 1, 2]
-    assert ids(Fuzzy("field", "planet", 1)) == [0, 1]
-    assert ids(Fuzzy("field", "planet", 0)) == [0]
-    assert ids(Fuzzy("field", "planet", 2, max_expansions=1)) == [0]
-
-
-def _plain(texts, query, deleted=()):
-    docs = [t.split() for t in texts]
-    n = len(docs)
-    steps = lambda k: max((s for s in NORM_STEPS if s[0] <= k), default=(0, 0.0))[1]
-    idf = lambda t: 1 + math.log(n / (sum(t in d for d in docs) + 1))
-    scored = [(o, t) for o, t in query if o != N]
-    qn = 1 / math.sqrt(sum(idf(t) ** 2 for _, t in scored)) if scored else 0
-    out = []
-    for i, d in enumerate(docs):
-        got = [t for _, t in scored if t in d]
-        if i in deleted or not got or any(o == N and t in d for o, t in query) or any(o == M and t not in d for o, t in query):
-            continue
-        total = sum(math.sqrt(d.count(t)) * idf(t) ** 2 * qn for t in got)
-        out.append((i, total * steps(len(d)) * (len(got) / len(scored) if len(scored) > 1 else 1)))
-    return sorted(out, key=lambda x: (-round(x[1], 6), x[0]))
-
-
-def test_random_booleans(spark):
-    draw = random.Random(7)
-    texts = [" ".join(draw.choices("abcdefg", k=draw.randint(1, 40))) for _ in range(120)]
-    deleted = tuple(draw.sample(range(120), 15))
-    live, dead = corpus(spark, texts), corpus(spark, texts, deleted)
-    for _ in range(4):
-        clauses = [(draw.choice([S, S, M, N]), draw.choice("abcdefgh")) for _ in range(draw.randint(1, 5))]
-        for index, gone in ((live, ()), (dead, deleted)):
-            want = _plain(texts, clauses, gone)
-            total, hits = run(index, boolean(*clauses), 500)
-            assert total == len(want)
-            assert [d for d, _ in hits] == [d for d, _ in want]
-            assert all(abs(a - b) < 2e-6 for (_, a), (_, b) in zip(hits, want))
-            unscored = run(index, ConstantScore(boolean(*clauses)), 500)[1]
-            assert unscored == sorted((d, 1.0) for d, _ in want)
-            assert run(index, boolean(*clauses), 10)[1] == hits[:10]
-
-
-def test_batch_is_the_single_queries(spark):
-    index = corpus(spark, ABC)
+    draw = random.Random(34)
+    rows = [(i, "x", draw.choice([None, draw.randint(-50, 50)])) for i in range(400)]
+    index = SearchIndex.build(spark.createDataFrame(rows, "doc_id long, field string, n int"), IndexSpec(text_fields=("field",), numeric_fields=("n",))).counted()
+    for low, high, below, above in ((-7, 22, True, True), (-7, 22, False, False), (None, 0, True, False), (13, None, False, True), (9, -9, True, True)):
+        fits = lambda n: n is not None and (low is None or n > low or (below and n == low)) and (high is None or n < high or (above and n == high))
+        want = [(i, 1.0) for i, _, n in rows if fits(n)]
+        assert run(index, NumericRange("n", low, high, below, above)) == (len(want), want)
+    top = search(index, Term("field", "x"), 7, sort_by="n").hits.orderBy("rank").collect()
+    assert [r.doc_id for r in top] == [i for i, _, n in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))[:7]]
+
+
+def test_fuzzy_against_plain_edits(spark):
+    draw = random.Random(35)
+    words = sorted({"".join(draw.choices("aeml", k=draw.randint(2, 6))) for _ in range(150)})
+    index = corpus(spark, words)
+    for text in words[::30] + ["mela", "aemlae", "xy"]:
+        for most in (0, 1, 2):
+            near = {w: plain.edits(w, text) for w in words if abs(len(w) - len(text)) <= most}
+            best = sorted(((-(1 - n / min(len(w), len(text))), w) for w, n in near.items() if n <= most and n < min(len(w), len(text))))[:50]
+            assert sorted(d for d, _ in run(index, Fuzzy("field", text, most))[1]) == sorted(words.index(w) for _, w in best), (text, most)
+    only = run(index, Fuzzy("field", words[0], 2, max_expansions=1))[1]
+    assert [d for d, _ in only] == [0]
+
+
+def test_batch_is_the_single_queries(index):
+    a, b, c = VOCABULARY[:3]
+    boolean = lambda *clauses, **options: Boolean(tuple(Clause(o, Term("field", t)) for o, t in clauses), **options)
     queries = {
-        "q1": boolean((S, "a"), (S, "x")),
-        "q2": Term("field", "b"),
-        "q3": Phrase("field", ("a", "b")),
-        "q4": boolean((M, "a"), (S, "c"), (N, "x")),
-        "q5": boolean((S, "a"), (S, "a"), (S, "c"), disable_coord=True),
-        "q6": Fuzzy("field", "a", 1),
-        "q7": boolean((N, "a")),
-        "q8": boolean((M, "nosuch"), (S, "a")),
-        "q9": Term("field", "a", docs_only=True),
-        "q10": boolean((S, "a"), (S, "b"), (S, "c"), min_should_match=2),
-        "q11": ConstantScore(Term("field", "a"), 3.0),
+        "q1": boolean((S, a), (S, b)),
+        "q2": Term("field", b),
+        "q3": Phrase("field", (a, b)),
+        "q4": boolean((M, a), (S, c), (N, b)),
+        "q5": boolean((S, a), (S, a), (S, c), disable_coord=True),
+        "q6": Fuzzy("field", a + b, 1),
+        "q7": boolean((N, a)),
+        "q8": boolean((M, "absent"), (S, a)),
+        "q9": Term("field", a, docs_only=True),
+        "q10": boolean((S, a), (S, b), (S, c), min_should_match=2),
+        "q11": ConstantScore(Term("field", a), 3.0),
     }
     got = {}
     for r in search_many(index, queries, 10).collect():
@@ -200,22 +181,27 @@ def test_batch_is_the_single_queries(spark):
     assert search_many(index, {}, 10).count() == 0
 
 
-def test_strict_and_arguments(spark):
-    index = corpus(spark, ABC)
-    for query in (
-        Phrase("field", ("a", "b"), slop=1),
-        boolean((S, "a"), (S, "b"), min_should_match=2),
-        Boolean.of((M, Term("field", "a")), (M, boolean((S, "b")))),
-        Boolean.of((M, Term("field", "a")), (M, Term("other", "a"))),
-        boolean((N, "a")),
+def test_strict_and_arguments(index):
+    a, b = VOCABULARY[:2]
+    term = lambda t, name="field": Term(name, t)
+    for q in (
+        Phrase("field", (a, b), slop=1),
+        Boolean.of((S, term(a)), (S, term(b)), min_should_match=2),
+        Boolean.of((M, term(a)), (M, Boolean.of((S, term(b))))),
+        Boolean.of((M, term(a)), (M, term(a, "other"))),
+        Boolean.of((N, term(a))),
     ):
         with pytest.raises(UnsupportedQuery):
-            search(index, query, 10, strict=True)
-        search(index, query, 10).hits.collect()
+            search(index, q, 10, strict=True)
+        search(index, q, 10).hits.collect()
     with pytest.raises(UnsupportedQuery):
-        search(index, Term("field", "a"), 0)
+        search(index, term(a), 0)
 
 
-def test_minimum_should_match_beside_required(spark):
-    assert [d for d, _ in run(corpus(spark, ABC), boolean((M, "a"), (S, "c"), (S, "x"), min_should_match=1))[1]] == [0, 1]
-    assert [d for d, _ in run(corpus(spark, ABC), ConstantScore(boolean((M, "b"), (S, "c"), min_should_match=1)))[1]] == [0]
+def test_minimum_should_match_beside_required(index):
+    a, b, c = VOCABULARY[:3]
+    q = Boolean.of((M, Term("field", a)), (S, Term("field", b)), (S, Term("field", c)), min_should_match=1)
+    want = [i for i, d in enumerate(Plain(TEXTS).docs) if a in d and (b in d or c in d)]
+    assert sorted(d for d, _ in run(index, q)[1]) == want
+    assert [d for d, _ in run(index, ConstantScore(q))[1]] == want
+    assert sorted(r.doc_id for r in match(index, q).collect()) == want
