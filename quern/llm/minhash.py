@@ -147,14 +147,14 @@ def only_ids(rows: DataFrame, ids: DataFrame, bound: int = BROADCAST_IDS) -> Dat
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    """The pairs, rows of (a, b, ...), whose sets reach the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(right, "b").join(left, "a")
     low, high = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     # sizes alone rule a pair out before its sets are met
     common = F.when(100 * low >= threshold * high, F.size(F.array_intersect("sa", "sb"))).otherwise(0)
-    return both.withColumn("common", common).where(100 * F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    return both.withColumn("common", common).where(100 * F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select(*pairs.columns)
 
 
 def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
@@ -176,13 +176,22 @@ def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
     return whole.where(told > 0).select("id", F.col("n").cast("long").alias("n"), head.alias("head"))
 
 
-def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(bucket, node, group, main_group, held) of buckets with members of several groups: the largest group, and all members."""
-    of_node = groups.select("node", F.col("component").alias("group"))
-    grouped = members.select("bucket", "node").join(of_node, "node", "left").select("bucket", "node", F.coalesce("group", "node").alias("group"))
+def _unsettled(grouped: DataFrame) -> DataFrame:
+    """Of rows of (bucket, node, group) those in buckets of several groups, with the largest group and the number of members."""
     sizes = grouped.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
     sizes = sizes.agg(F.max(F.struct("n", "group")).alias("main"), F.sum("n").alias("held"), F.count(F.lit(1)).alias("n_groups")).where("n_groups > 1")
-    return grouped.join(sizes.select("bucket", F.col("main.group").alias("main_group"), "held"), "bucket")
+    return grouped.select("bucket", "node", "group").join(sizes.select("bucket", F.col("main.group").alias("main_group"), "held"), "bucket")
+
+
+def _joined(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(node, component) of the groups that links, rows of (ga, gb), join."""
+    return stage(spark, connected_components(spark, links.select(F.col("ga").alias("a"), F.col("gb").alias("b"))), "minhash-moves")
+
+
+def _moved(rows: DataFrame, moves: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the groups in ``column`` replaced by those that they were joined to, (node, component)."""
+    to = moves.select(F.col("node").alias(column), F.col("component").alias("to"))
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("to", column)).drop("to")
 
 
 def near_duplicates(
@@ -227,29 +236,29 @@ def near_duplicates(
     links = stage(spark, _verified(pairs, sets, threshold).unionByName(own), "minhash-links")
     groups = stage(spark, connected_components(spark, links), "minhash-groups")
 
-    met = pairs
+    of_node = groups.select("node", F.col("component").alias("group"))
+    grouped = members.select("bucket", "node").join(of_node, "node", "left").select("bucket", "node", F.coalesce("group", "node").alias("group"))
+    unsettled = stage(spark, _unsettled(grouped), "minhash-unsettled")
+    met, moves = pairs, []
     for deal in range(ROUNDS):
-        # members of unsettled buckets against the first, by hash, of their chunk
-        unsettled = stage(spark, _unsettled(members, groups), "minhash-unsettled")
-        if unsettled.isEmpty():
-            break
+        # members of large unsettled buckets against the first, by hash, of their chunk; small buckets wait for the last pass
+        large = unsettled.where(F.col("held") > CHUNK)
         rank = F.xxhash64("node", "bucket", F.lit(deal))
-        dealt = unsettled.withColumns({"rank": rank, "chunk": F.pmod(F.xxhash64("node", F.lit(~deal)), F.ceil(F.col("held") / CHUNK))})
-        # grouped with the chunk, which no bucket has more of than held / CHUNK: small groups, each met by its own rows
+        dealt = large.withColumns({"rank": rank, "chunk": F.pmod(F.xxhash64("node", F.lit(~deal)), F.ceil(F.col("held") / CHUNK))})
         first = dealt.groupBy("bucket", "chunk").agg(F.min(F.struct("rank", "node", "group")).alias("first"))
         drawn = dealt.join(first, ["bucket", "chunk"]).where(F.col("group") != F.col("first.group"))
-        drawn = drawn.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
-        drawn = stage(spark, drawn.join(met, ["a", "b"], "left_anti"), "minhash-drawn")
+        drawn = drawn.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"), F.col("group").alias("ga"), F.col("first.group").alias("gb"))
+        drawn = stage(spark, drawn.dropDuplicates(["a", "b"]).join(met, ["a", "b"], "left_anti"), "minhash-drawn")
         if drawn.isEmpty():
-            continue
-        met = met.unionByName(drawn)
-        links = stage(spark, links.unionByName(_verified(drawn, sets, threshold)), "minhash-links")
-        groups = stage(spark, connected_components(spark, links), "minhash-groups")
+            break
+        met = met.unionByName(drawn.select("a", "b"))
+        # groups are the nodes from here on
+        moves.append(_joined(spark, _verified(drawn, sets, threshold)))
+        unsettled = stage(spark, _unsettled(_moved(unsettled, moves[-1], "group")), "minhash-unsettled")
 
     # members outside their bucket's largest group, against all of other groups
-    grouped = stage(spark, _unsettled(members, groups), "minhash-grouped")
-    apart = grouped.where("group <> main_group").select(F.col("node").alias("id")).distinct()
-    unsettled = stage(spark, grouped.select(F.col("node").alias("id"), "group").distinct(), "minhash-unsettled")
+    apart = unsettled.where("group <> main_group").select(F.col("node").alias("id")).distinct()
+    unsettled = stage(spark, unsettled.select(F.col("node").alias("id"), "group").distinct(), "minhash-unsettled")
     heads = stage(spark, _prefixes(sets.join(unsettled.select("id"), "id", "left_semi"), threshold), "minhash-heads")
     heads = heads.join(unsettled, "id").select("id", "group", "n", F.inline("head"))
     x = heads.join(apart, "id", "left_semi").select("s", F.col("id").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"), F.col("place").alias("px"))
@@ -257,16 +266,17 @@ def near_duplicates(
     # what both hold from their places on must reach threshold/(100 + threshold) of both sizes
     left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     possible = ((100 + threshold) * left >= threshold * (F.col("nx") + F.col("ny"))) & (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
-    rest = x.join(y, "s").where((F.col("gx") != F.col("gy")) & possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = stage(spark, rest.join(met, ["a", "b"], "left_anti"), "minhash-rest")
+    rest = x.join(y, "s").where((F.col("gx") != F.col("gy")) & possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("gx").alias("ga"), F.col("gy").alias("gb"))
+    rest = stage(spark, rest.dropDuplicates(["a", "b"]).join(met, ["a", "b"], "left_anti"), "minhash-rest")
     if seen is not None:
         seen.update(first=pairs.count(), met=met.count(), rest=rest.count())
     if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, sets, threshold))
-        groups = stage(spark, connected_components(spark, links), "minhash-groups")
+        moves.append(_joined(spark, _verified(rest, sets, threshold)))
 
     named = groups.select("node", "component")
     of_id = nodes.select("id", "node").distinct().join(named, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    for move in moves:
+        of_id = _moved(of_id, move, "component")
     of_id = of_id.groupBy("id").agg(F.min("component").alias("component_id"))
     out = scan.select(F.col("id").alias("doc_id"), "n_shingles").join(of_id.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
