@@ -14,6 +14,8 @@ from quern.sources.index import SearchIndex
 
 #: A set of document or term keys is broadcast up to this many rows, else left to a shuffled join.
 BROADCAST_ROWS = 1_000_000
+#: Terms of a pattern up to this number are a filter of the scan.
+PUSHED_TERMS = 1_000
 
 
 def _terms_of(query: Query) -> set[tuple[str, str]]:
@@ -217,6 +219,9 @@ class Compiler:
         if isinstance(query, MultiTerm):
             # patterns run over the vocabulary, not over every posting
             terms = self.index.term_stats.where((F.col("field") == query.field) & term_predicate(query, F.col("term"))).select("term")
+            few = [r.term for r in terms.limit(PUSHED_TERMS + 1).collect()]
+            if len(few) <= PUSHED_TERMS:  # the scan is pruned to them
+                return self._postings(query.field, few).select("doc_id").distinct() if few else self._empty().select("doc_id")
             if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
                 terms = F.broadcast(terms)
             rows = self.index.postings.where(F.col("field") == query.field).join(terms, "term", "left_semi")

@@ -1,7 +1,7 @@
 """The search index: tables made from a DataFrame of documents, kept as Parquet.
 
-``postings`` is bucketed by document and sorted by (field, term) in each bucket, and carries
-the document's length norm. A bucket answers a query by itself: what a Boolean or phrase
+``postings``, ``facets`` and ``docs`` are bucketed by document, postings sorted by (field,
+term) in each bucket and with the document's length norm. A bucket answers a query by itself: what a Boolean or phrase
 needs of a document is in one place, so postings are never shuffled; statistics of row
 groups and pages prune a term's scan to what holds it. Frequencies and positions are columns
 that a query which doesn't use them never reads.
@@ -35,8 +35,9 @@ class IndexSpec:
     no_norms: tuple[str, ...] = ()
 
 
-_TABLES = ("docs", "term_stats", "facets", "taxonomy")
-_POSTINGS = "field string, term string, doc_id bigint, tf int, positions array<int>, norm double"
+#: Tables dealt by document, with the order inside a bucket, and the others.
+_DEALT = {"docs": ("doc_id",), "postings": ("field", "term", "doc_id"), "facets": ("dim", "label", "doc_id")}
+_OTHER = ("term_stats", "taxonomy")
 
 
 @dataclass(frozen=True)
@@ -60,11 +61,9 @@ class SearchIndex:
 
     @staticmethod
     def build(df: DataFrame, spec: IndexSpec) -> SearchIndex:
-        doc_id = F.col(spec.id_col).cast("long").alias("doc_id")
-        docs = df.select(doc_id, *[F.col(c) for c in spec.numeric_fields])
         postings = _postings(df, spec)
         facets = _facets(df, spec)
-        return SearchIndex(spec, -1, docs, postings, _stats(postings), facets, _taxonomy(facets), source=df)
+        return SearchIndex(spec, -1, _docs(df, spec), postings, _stats(postings), facets, _taxonomy(facets), source=df)
 
     def save(self, path: str, buckets: int | None = None) -> None:
         """Write all tables under ``path``; statistics are taken from the written postings.
@@ -75,22 +74,24 @@ class SearchIndex:
         """
         spark = self.docs.sparkSession
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        docs = _written(self.docs, f"{path}/docs")
-        n_docs = docs.count()
-        if docs.where("doc_id is not null").select("doc_id").distinct().count() != n_docs:
-            raise ValueError("an index needs ids that are not null and don't repeat")
         if self.source is not None:
             dealt = self.source.repartition(buckets, F.col(self.spec.id_col).cast("long"))
-            postings = _postings(dealt, self.spec)
+            made = {"docs": _docs(dealt, self.spec), "postings": _postings(dealt, self.spec), "facets": _facets(dealt, self.spec)}
         else:
-            postings = self.postings.repartition(buckets, "doc_id")
-        name = _table_name(path)
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        postings.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("field", "term", "doc_id").option("path", f"{path}/postings").format("parquet").saveAsTable(name)
-        _written(_stats(spark.table(name)).sortWithinPartitions("field", "term"), f"{path}/term_stats")
-        facets = _written(self.facets, f"{path}/facets")
-        _written(_taxonomy(facets), f"{path}/taxonomy")
-        about = json.dumps({"n_docs": n_docs, "spec": self.spec.__dict__, "buckets": buckets})
+            made = {t: getattr(self, t).repartition(buckets, "doc_id") for t in _DEALT}
+        for t, order in _DEALT.items():
+            name = _table_name(path, t)
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            made[t].write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy(*order).option("path", f"{path}/{t}").format("parquet").saveAsTable(name)
+            if t == "docs":
+                ids = spark.table(name).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("distinct")).first()
+                if ids.distinct != ids.n:
+                    raise ValueError("an index needs ids that are not null and don't repeat")
+        n_docs = ids.n
+        _written(_stats(spark.table(_table_name(path, "postings"))).sortWithinPartitions("field", "term"), f"{path}/term_stats")
+        _written(_taxonomy(spark.table(_table_name(path, "facets"))), f"{path}/taxonomy")
+        columns = {t: ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema) for t, rows in made.items()}
+        about = json.dumps({"n_docs": n_docs, "spec": self.spec.__dict__, "buckets": buckets, "columns": columns})
         _written(spark.createDataFrame([(about,)], "about string").coalesce(1), f"{path}/about")
 
     @staticmethod
@@ -98,13 +99,16 @@ class SearchIndex:
         about = json.loads(spark.read.parquet(f"{path}/about").first()[0])
         raw = about["spec"]
         spec = IndexSpec(**{k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in raw.items()})
-        name = _table_name(path)
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} ({_POSTINGS}) USING parquet CLUSTERED BY (doc_id) SORTED BY (field, term, doc_id) "
-            f"INTO {about['buckets']} BUCKETS LOCATION '{path}/postings'"
-        )
-        spark.catalog.refreshTable(name)
-        return SearchIndex(spec, about["n_docs"], postings=spark.table(name), **{t: spark.read.parquet(f"{path}/{t}") for t in _TABLES})
+        dealt = {}
+        for t, order in _DEALT.items():
+            name = _table_name(path, t)
+            spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} ({about['columns'][t]}) USING parquet CLUSTERED BY (doc_id) SORTED BY ({', '.join(order)}) "
+                f"INTO {about['buckets']} BUCKETS LOCATION '{path}/{t}'"
+            )
+            spark.catalog.refreshTable(name)
+            dealt[t] = spark.table(name)
+        return SearchIndex(spec, about["n_docs"], **dealt, **{t: spark.read.parquet(f"{path}/{t}") for t in _OTHER})
 
     def counted(self) -> SearchIndex:
         """With the number of documents known."""
@@ -143,9 +147,13 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _table_name(path: str) -> str:
-    """The session's name of the postings under ``path``: bucketing is known to tables only."""
-    return f"quern_{hashlib.md5(path.encode()).hexdigest()}"
+def _table_name(path: str, table: str) -> str:
+    """The session's name of a table under ``path``: bucketing is known to the catalog only."""
+    return f"quern_{table}_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def _docs(df: DataFrame, spec: IndexSpec) -> DataFrame:
+    return df.select(F.col(spec.id_col).cast("long").alias("doc_id"), *[F.col(c) for c in spec.numeric_fields])
 
 
 def _stats(postings: DataFrame) -> DataFrame:
