@@ -36,23 +36,33 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     order: list[tuple[int, int]] = []
     held_sources: list[int] = []
     held_clusters: list[int] = []
+    inside: list[list[int]] = []  # sources of each bin
+    open_with: dict[int, int] = {}  # open bins that hold a source
     out = []
     for size, source, cluster in zip(sizes, sources, clusters):
         s = 1 << source if source >= 0 else 0
         c = 1 << cluster if cluster >= 0 else 0
-        at = bisect_left(order, (size, -1))
+        # where every open bin holds the source, as with a frequent one, there is nothing to search
+        at = bisect_left(order, (size, -1)) if not s or open_with.get(source, 0) < len(order) else len(order)
         while at < len(order) and (held_sources[order[at][1]] & s or held_clusters[order[at][1]] & c):
             at += 1
         if at < len(order):
             left, number = order.pop(at)
+            for x in inside[number]:
+                open_with[x] -= 1
         else:
             left, number = capacity, len(held_sources)
             held_sources.append(0)
             held_clusters.append(0)
+            inside.append([])
         held_sources[number] |= s
         held_clusters[number] |= c
+        if s:
+            inside[number].append(source)
         if left > size or size == 0:
             insort(order, (left - size, number))
+            for x in inside[number]:
+                open_with[x] = open_with.get(x, 0) + 1
         out.append(number)
     return out
 
