@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,14 +20,18 @@ class TopDocs:
     """hits(rank, doc_id, score); totals(total_hits, max_score), max_score null when nothing matches."""
 
     hits: DataFrame
-    totals: DataFrame
+    matches: DataFrame
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return self.matches.agg(F.count(F.lit(1)).alias("total_hits"), F.max("score").alias("max_score"))
 
 
 def ranked(matches: DataFrame, top_n: int, order=None) -> DataFrame:
     """The first ``top_n`` by score descending, then doc_id; only those rows are numbered."""
-    order = order or [F.desc("score"), F.asc("doc_id")]
-    best = matches.orderBy(*order).limit(top_n)
-    return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), *matches.columns)
+    order = order or ["score DESC", "doc_id ASC"]
+    best = matches.orderBy(*[F.expr(x.removesuffix(" DESC")).desc() if x.endswith(" DESC") else F.expr(x.removesuffix(" ASC")) for x in order]).limit(top_n)
+    return best.selectExpr(f"row_number() OVER (ORDER BY {', '.join(order)}) AS rank", "*")
 
 
 def match(index: SearchIndex, query: Query, strict: bool = False) -> DataFrame:
@@ -35,7 +40,7 @@ def match(index: SearchIndex, query: Query, strict: bool = False) -> DataFrame:
         check_strict(query)
     query = rewrite(index, query)
     found = Compiler.of(index, query).matches(query)
-    return index.live(found).select("doc_id", F.round("score", DIGITS).alias("score"))
+    return index.live(found).selectExpr("doc_id", f"round(score, {DIGITS}) AS score")
 
 
 def search(index: SearchIndex, query: Query, top_n: int, strict: bool = False, sort_by: str | None = None, after: tuple[float, int] | None = None) -> TopDocs:
@@ -44,14 +49,13 @@ def search(index: SearchIndex, query: Query, top_n: int, strict: bool = False, s
     if top_n <= 0:
         raise UnsupportedQuery("top_n must be positive")
     matches = match(index, query, strict)
-    totals = matches.agg(F.count(F.lit(1)).alias("total_hits"), F.max("score").alias("max_score"))
     page = matches
     if after is not None:
         page = matches.where((F.col("score") < after[0]) | ((F.col("score") == after[0]) & (F.col("doc_id") > after[1])))
     if sort_by is not None:
         page = page.join(index.docs.select("doc_id", sort_by), "doc_id")
-        return TopDocs(ranked(page, top_n, [F.asc(sort_by), F.asc("doc_id")]), totals)
-    return TopDocs(ranked(page, top_n), totals)
+        return TopDocs(ranked(page, top_n, [f"`{sort_by}` ASC", "doc_id ASC"]), matches)
+    return TopDocs(ranked(page, top_n), matches)
 
 
 def search_many(index: SearchIndex, queries: dict[str, Query], top_n: int) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.literals import double_sql, text_sql
 from quern.functions.scoring import idf, query_norm
 from quern.plans.query import MUST, MUST_NOT, SHOULD, Boolean, Clause, ConstantScore, MatchAll, MultiTerm, NumericRange, Phrase, Prefix, Query, Term, TermRange, UnsupportedQuery
 from quern.plans.rewrite import term_predicate, unscored
@@ -68,17 +69,17 @@ class Compiler:
         return self.index.docs.select("doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
 
     def _postings(self, name: str, texts: list[str]) -> DataFrame:
-        return self.index.postings.where((F.col("field") == name) & F.col("term").isin(sorted(set(texts))))
+        return self.index.postings.where(f"field = {text_sql(name)} AND term IN ({', '.join(text_sql(t) for t in sorted(set(texts)))})")
 
     def _scored(self, query: Query, factor: float) -> DataFrame:
         """``factor``: the query norm times the boosts of what encloses the query."""
         if isinstance(query, Term):
             weight = self._idf(query) ** 2 * query.boost * factor
-            tf = F.lit(1.0) if query.docs_only else F.sqrt("tf")
-            return self._postings(query.field, [query.text]).select("doc_id", (tf * F.lit(weight) * F.col("norm")).alias("score"))
+            tf = "1D" if query.docs_only else "sqrt(tf)"
+            return self._postings(query.field, [query.text]).selectExpr("doc_id", f"{tf} * {double_sql(weight)} * norm AS score")
         if isinstance(query, Phrase):
             weight = self._idf(query) ** 2 * query.boost * factor
-            return self._phrase(query).select("doc_id", (F.sqrt("freq") * F.lit(weight) * F.col("norm")).alias("score"))
+            return self._phrase(query).selectExpr("doc_id", f"sqrt(freq) * {double_sql(weight)} * norm AS score")
         if isinstance(query, Boolean):
             return self._boolean(query, factor * query.boost)
         if isinstance(query, ConstantScore):
@@ -107,16 +108,13 @@ class Compiler:
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
-        count = lambda occur: F.sum(F.when(F.col("occur") == occur, 1).otherwise(0))
         summed = rows.groupBy("doc_id").agg(
-            F.sum(F.when(F.col("occur") != MUST_NOT, F.col("score")).otherwise(0.0)).alias("total"),
-            count(MUST).alias("must"),
-            count(SHOULD).alias("should"),
-            count(MUST_NOT).alias("prohibited"),
+            F.expr(f"sum(CASE WHEN occur <> '{MUST_NOT}' THEN score ELSE 0D END) AS total"),
+            *[F.expr(f"count_if(occur = '{occur}') AS {name}") for occur, name in ((MUST, "must"), (SHOULD, "should"), (MUST_NOT, "prohibited"))],
         )
-        held = summed.where((F.col("must") == len(required)) & (F.col("prohibited") == 0) & (F.col("must") + F.col("should") > 0) & (F.col("should") >= query.min_should_match))
-        coord = F.lit(1.0) if query.disable_coord or most == 1 else (F.col("must") + F.col("should")) / F.lit(float(most))
-        return held.select("doc_id", (F.col("total") * coord).alias("score"))
+        held = summed.where(f"must = {len(required)} AND prohibited = 0 AND must + should > 0 AND should >= {int(query.min_should_match)}")
+        coord = "1D" if query.disable_coord or most == 1 else f"((must + should) / {double_sql(most)})"
+        return held.selectExpr("doc_id", f"total * {coord} AS score")
 
     @staticmethod
     def batchable(query: Query) -> bool:
@@ -152,22 +150,22 @@ class Compiler:
 
     def _term_clauses(self, name: str, group: list, factor: float) -> DataFrame:
         """A row per clause and document that holds its term: one scan of the postings for all clauses of a field."""
-        by_term: dict[str, list[Column]] = {}
+        by_term: dict[str, list[str]] = {}
         for _, c in group:
             q = c.query
             if not self.doc_freq.get((q.field, q.text)):
                 continue  # no such term: nothing to scan
             weight = 0.0 if c.occur == MUST_NOT else self._idf(q) ** 2 * q.boost * factor
-            by_term.setdefault(q.text, []).append(F.struct(F.lit(weight).alias("weight"), F.lit(c.occur).alias("occur"), F.lit(q.docs_only).alias("docs_only")))
+            by_term.setdefault(q.text, []).append(f"named_struct('weight', {double_sql(weight)}, 'occur', '{c.occur}', 'docs_only', {str(q.docs_only).lower()})")
         if not by_term:
             return self._empty().withColumn("occur", F.lit(SHOULD))
         # a literal map, so that a union of many terms is a lookup and not a chain of branches
-        clauses = F.element_at(F.create_map(*[x for text, entries in by_term.items() for x in (F.lit(text), F.array(*entries))]), F.col("term"))
-        rows = self._postings(name, list(by_term)).select("doc_id", "tf", "norm", clauses.alias("clauses"))
         single = all(len(entries) == 1 for entries in by_term.values())
-        rows = rows.select("doc_id", "tf", "norm", (F.get("clauses", F.lit(0)) if single else F.explode("clauses")).alias("x"))
-        tf = F.col("tf") if not any(c.query.docs_only for _, c in group) else F.when(F.col("x.docs_only"), 1).otherwise(F.col("tf"))
-        return rows.select("doc_id", (F.sqrt(tf) * F.col("x.weight") * F.col("norm")).alias("score"), F.col("x.occur").alias("occur"))
+        clauses = ", ".join(f"{text_sql(text)}, {entries[0] if single else 'array(' + ', '.join(entries) + ')'}" for text, entries in by_term.items())
+        clauses = f"element_at(map({clauses}), term)"
+        rows = self._postings(name, list(by_term)).selectExpr("doc_id", "tf", "norm", f"{clauses if single else f'explode({clauses})'} AS x")
+        tf = "tf" if not any(c.query.docs_only for _, c in group) else "CASE WHEN x.docs_only THEN 1 ELSE tf END"
+        return rows.selectExpr("doc_id", f"sqrt({tf}) * x.weight * norm AS score", "x.occur AS occur")
 
     def _phrase(self, query: Phrase) -> DataFrame:
         """(doc_id, freq, norm): a document's positions meet in one row; starts are an intersection of arrays."""
@@ -177,21 +175,24 @@ class Compiler:
         if query.slop:
             return self._sloppy(query)
         distinct = sorted(set(query.terms))
-        rows = self._postings(query.field, distinct).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.max("norm").alias("norm"))
+        rows = self._held(query.field, distinct)
         starts = None
         for text, offset in zip(query.terms, offsets):
-            moved = F.transform(F.col("at")[text], _minus(offset))
-            starts = moved if starts is None else F.array_intersect(starts, moved)
-        held = rows.where(F.size(F.map_keys("at")) == len(distinct)).select("doc_id", "norm", F.size(F.filter(F.array_distinct(starts), lambda p: p >= 0)).alias("freq"))
-        return held.where("freq > 0").select("doc_id", "freq", "norm")
+            moved = f"transform(at[{text_sql(text)}], p -> p - {int(offset)})"
+            starts = moved if starts is None else f"array_intersect({starts}, {moved})"
+        return rows.selectExpr("doc_id", f"size(filter(array_distinct({starts}), p -> p >= 0)) AS freq", "norm").where("freq > 0")
+
+    def _held(self, name: str, distinct: list[str]) -> DataFrame:
+        """(doc_id, at, norm) of the documents that hold all terms, ``at`` mapping a term to its positions."""
+        rows = self._postings(name, distinct).groupBy("doc_id").agg(F.expr("map_from_entries(collect_list(struct(term, positions))) AS at"), F.expr("max(norm) AS norm"))
+        return rows.where(f"size(at) = {len(distinct)}")
 
     def _sloppy(self, query: Phrase) -> DataFrame:
         """Every start of the first term counts 1/(1 + moves), moves being the sum over the other terms of the
         distance to their nearest place; starts with more than ``slop`` moves don't count."""
         offsets = query.offsets()
         distinct = sorted(set(query.terms))
-        rows = self._postings(query.field, distinct).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.max("norm").alias("norm"))
-        rows = rows.where(F.size(F.map_keys("at")) == len(distinct))
+        rows = self._held(query.field, distinct)
         moves = F.transform(F.col("at")[query.terms[0]], lambda p: self._moves(p, query, offsets))
         freq = F.aggregate(moves, F.lit(0.0), lambda a, m: a + F.when(m <= query.slop, 1.0 / (1.0 + m)).otherwise(0.0))
         return rows.select("doc_id", "norm", freq.alias("freq")).where("freq > 0").select("doc_id", "freq", "norm")
@@ -241,9 +242,5 @@ class Compiler:
         return self.index.docs.where(out).select("doc_id")
 
 
-def _minus(offset: int):
-    return lambda p: p - F.lit(offset)
-
-
 def _distance(start: Column, offset: int):
     return lambda x: F.abs(x - offset - start)

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.literals import text_sql
 from quern.plans.query import MUST, MUST_NOT, SHOULD, Boolean, Clause, ConstantScore, Fuzzy, MultiTerm, Phrase, Prefix, Query, Regexp, Term, TermRange, UnsupportedQuery, Wildcard
 from quern.sources.index import SearchIndex
 
@@ -59,8 +60,8 @@ def swapped(text: str) -> list[str]:
     return sorted({text[:i] + text[i + 1] + text[i] + text[i + 2 :] for i in range(len(text) - 1)} - {text})
 
 
-def edit_distance(term: Column, text: str, most: int) -> Column:
-    """Edits between ``term`` and ``text`` where a swap of neighbours is one edit, exact up to ``most`` (<= 2) and
+def edit_distance(text: str, most: int) -> str:
+    """SQL of the edits between ``term`` and ``text`` where a swap of neighbours is one edit, exact up to ``most`` (<= 2) and
     null or more beyond."""
     forms = {text: 0}
     for _ in range(most):
@@ -68,9 +69,9 @@ def edit_distance(term: Column, text: str, most: int) -> Column:
             for other in swapped(form):
                 forms.setdefault(other, cost + 1)
     # an edit is two plain ones at most: the bounded distance rules most terms out before any other is taken
-    close = F.levenshtein(term, F.lit(text), 2 * most) >= 0
-    distances = [F.levenshtein(term, F.lit(form)) + cost for form, cost in forms.items() if cost <= most]
-    return F.when(close, F.least(*distances) if len(distances) > 1 else distances[0])
+    distances = ", ".join(f"levenshtein(term, {text_sql(form)}) + {cost}" for form, cost in forms.items() if cost <= most)
+    least = f"least({distances})" if len(forms) > 1 else distances
+    return f"CASE WHEN levenshtein(term, {text_sql(text)}, {2 * most}) >= 0 THEN {least} END"
 
 
 def expand_fuzzy(index: SearchIndex, query: Fuzzy) -> Query:
@@ -78,10 +79,9 @@ def expand_fuzzy(index: SearchIndex, query: Fuzzy) -> Query:
     if query.max_edits not in (0, 1, 2):
         raise UnsupportedQuery("fuzzy: max_edits must be 0, 1 or 2")
     n = len(query.text)
-    terms = index.term_stats.where((F.col("field") == query.field) & F.length("term").between(n - query.max_edits, n + query.max_edits))
-    edits = edit_distance(F.col("term"), query.text, query.max_edits)
-    boost = 1 - F.col("edits") / F.least(F.length("term"), F.lit(n))
-    near = terms.select("term", edits.alias("edits")).where(F.col("edits") <= query.max_edits).select("term", boost.alias("boost")).where("boost > 0")
+    terms = index.term_stats.where(f"field = {text_sql(query.field)} AND length(term) BETWEEN {n - query.max_edits} AND {n + query.max_edits}")
+    near = terms.selectExpr("term", f"{edit_distance(query.text, query.max_edits)} AS edits").where(f"edits <= {query.max_edits}")
+    near = near.selectExpr("term", f"1 - edits / least(length(term), {n}) AS boost").where("boost > 0")
     best = near.orderBy(F.desc("boost"), F.asc("term")).limit(query.max_expansions).collect()
     return Boolean(tuple(Clause(SHOULD, Term(query.field, r.term, r.boost)) for r in best), disable_coord=True, boost=query.boost)
 
