@@ -108,6 +108,7 @@ _hits("prefix_url", Prefix("url", "https://blog."), "SELECT page_id AS doc_id, 1
 _hits("wildcard", Wildcard("text", "th*ou?d"), o.set_rows("regexp_full_match(x, 'th.*ou.d')"), strict=True)
 _hits("wildcard_url", Wildcard("url", "*/en/7*"), "SELECT page_id AS doc_id, 1::DOUBLE AS score FROM pages WHERE contains(url, '/en/7')", "pages", strict=True)
 _hits("regexp", Regexp("text", "(on|er)(the|and)[a-z]?"), o.set_rows("regexp_full_match(x, '(on|er)(the|and)[a-z]?')"), strict=True)
+_hits("regexp_without", Regexp("text", "@an@&~(@the@|d@)&.{3,6}"), o.set_rows("contains(x, 'an') AND NOT contains(x, 'the') AND NOT starts_with(x, 'd') AND length(x) BETWEEN 3 AND 6"), strict=True)
 _hits("term_range", TermRange("text", "uea", "ueb"), o.set_rows("x >= 'uea' AND x <= 'ueb'"), strict=True)
 _hits(
     "numeric_range",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.literals import text_sql
 from quern.plans.query import MUST, MUST_NOT, SHOULD, Boolean, Clause, ConstantScore, Fuzzy, MultiTerm, Phrase, Prefix, Query, Regexp, Term, TermRange, UnsupportedQuery, Wildcard
+from quern.plans.regexp import regexp_sql
 from quern.sources.index import SearchIndex
 
 _PLAIN = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ")
@@ -44,7 +45,7 @@ def term_predicate(query: MultiTerm, term: Column) -> Column:
         regex, prefix = wildcard_regex(query.pattern)
         return (term.startswith(prefix) & term.rlike(regex)) if prefix else term.rlike(regex)
     if isinstance(query, Regexp):
-        return term.rlike(f"^(?:{query.pattern})\\z")
+        return F.expr(regexp_sql(query.pattern))
     if isinstance(query, TermRange):
         out = F.lit(True)
         if query.low is not None:
