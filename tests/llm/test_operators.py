@@ -407,6 +407,12 @@ def test_urls(spark, block, at_once):
     assert {r.verdict for r in url_filter.filter_urls(spark, df, []).collect()} == {"allow"}
 
 
+def test_url_query_has_the_rules_of_its_contract(spark, tmp_path):
+    contract = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    spark.createDataFrame([(i, f"http://{rule}1") for i, rule in enumerate(contract)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.rule: r.verdict for r in url_filter.op1_url_filter(spark, str(tmp_path)).collect()} == contract
+
+
 def test_urls_against_plain_rules():
     draw = random.Random(4)
     rules = [(".".join(draw.choices(["a", "b", "com"], k=draw.randint(1, 3))), draw.choice(["", "/", "/x", "/x/", "/x/y", "/xy"]), draw.choice(["allow", "block"])) for _ in range(40)]
