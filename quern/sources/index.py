@@ -16,10 +16,14 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.analysis import norm, tokens
+from quern.functions.analysis import norm
+from quern.functions.folding import FOLDED, folded
 
 #: Document frequencies kept on the driver: those of so many of the most frequent terms, and of terms asked for.
 FREQUENT = 20_000
+#: Bytes of what an index is made from, as its files have them, for each bucket: what a task sorts stays the same size.
+BUCKET_BYTES = 16 << 20
+MOST_BUCKETS = 4_096
 
 
 @dataclass(frozen=True)
@@ -73,7 +77,7 @@ class SearchIndex:
         is refused, since its postings would be those of one document.
         """
         spark = self.docs.sparkSession
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = buckets or _buckets(self.postings if self.source is None else self.source)
         if self.source is not None:
             dealt = self.source.repartition(buckets, F.col(self.spec.id_col).cast("long"))
             made = {"docs": _docs(dealt, self.spec), "postings": _postings(dealt, self.spec), "facets": _facets(dealt, self.spec)}
@@ -142,6 +146,14 @@ class SearchIndex:
         return {t: n for t in terms if (n := found.get(t) or self.known.get(t))}
 
 
+def _buckets(df: DataFrame) -> int:
+    """As many as a shuffle has partitions, more where the files of ``df`` are larger; what isn't read from files has no known size."""
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(size // BUCKET_BYTES, MOST_BUCKETS)) if size < 1 << 50 else least
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -161,22 +173,13 @@ def _stats(postings: DataFrame) -> DataFrame:
 
 
 def _postings(df: DataFrame, spec: IndexSpec) -> DataFrame:
-    """A row per document and term. A text's (term, place) pairs are sorted and folded inside its row: no shuffle."""
+    """A row per document and term: no shuffle, since a text is folded where it is."""
     doc_id = F.col(spec.id_col).cast("long").alias("doc_id")
     parts = []
     for name in spec.text_fields:
-        split = df.select(doc_id, tokens(F.col(name)).alias("tokens")).where(F.size("tokens") > 0)
-        placed = split.select("doc_id", F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("at")))).alias("placed"))
-        first = F.filter(F.sequence(F.lit(0), F.size("placed") - 1), lambda i: (i == 0) | (F.get("placed", i)["term"] != F.get("placed", i - 1)["term"]))
-        runs = placed.select("doc_id", "placed", F.size("placed").alias("length"), first.alias("first"))
-
-        def folded(start, k):
-            run = F.slice("placed", start + 1, F.coalesce(F.get("first", k + 1), F.col("length")) - start)
-            return F.struct(F.get("placed", start)["term"].alias("term"), F.transform(run, lambda x: x["at"]).alias("positions"))
-
-        rows = runs.select("doc_id", "length", F.inline(F.transform("first", folded)))
+        rows = df.select(doc_id, F.lower(F.col(name)).alias("text")).mapInArrow(folded, FOLDED)
         length_norm = F.lit(1.0) if name in spec.no_norms else norm(F.col("length"))
-        parts.append(rows.select(F.lit(name).alias("field"), "term", "doc_id", F.size("positions").alias("tf"), "positions", length_norm.alias("norm")))
+        parts.append(rows.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "positions", length_norm.alias("norm")))
     for name in spec.keyword_fields:
         rows = df.where(F.col(name).isNotNull()).select(
             F.lit(name).alias("field"), F.col(name).cast("string").alias("term"), doc_id, F.lit(1).alias("tf"), F.array(F.lit(0)).alias("positions"), F.lit(1.0).alias("norm")

@@ -1,12 +1,15 @@
 import random
+import re
 
 import plain
 import pytest
 from plain import Plain
 
+from quern.functions import folding
 from quern.operators.facets import drill_down, drill_sideways, facet_counts, top_children
 from quern.operators.search import match, search
 from quern.plans.query import MUST, MUST_NOT, SHOULD, Boolean, Clause, Phrase, Term, UnsupportedQuery
+from quern.sources import index as tables
 from quern.sources.index import IndexSpec, SearchIndex
 from quern.streaming.incremental import index_stream, merge_segments, snapshot
 
@@ -165,3 +168,30 @@ def test_fields_without_norms(spark):
     plainly = dict(Plain(["oak oak elm", "oak"]).hits(("term", "oak")))
     assert all(abs(r.score - plainly[r.doc_id]) < 1e-5 for r in match(index, Term("field", "oak")).collect())
     assert match(index, Term("nosuchfield", "oak")).count() == 0
+
+
+@pytest.mark.parametrize("run_bytes, rows", [(16 << 20, 20_000), (40, 3)])
+def test_folded_texts_against_plain_ones(spark, monkeypatch, run_bytes, rows):
+    """Runs of all texts and of few, one longer than a run; white space of every kind, none, nulls, ids out of order."""
+    monkeypatch.setattr(folding, "FOLDED_BYTES", run_bytes)
+    monkeypatch.setattr(folding, "FOLDED_ROWS", rows)
+    texts = {9: "  a b\ta ", 2: None, 7: "", 4: " \n", 5: "\u00c9 x\u00a0y \x0bzz\x0c\x85q \x1c", 1: "a", 3: "a b " * 40, 8: "B a"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, field string").coalesce(1)
+    postings = SearchIndex.build(df, IndexSpec(text_fields=("field",))).postings
+    got = {(r.doc_id, r.term): (r.tf, list(r.positions)) for r in postings.collect()}
+    want = {}
+    for i, text in texts.items():
+        for at, w in enumerate(w for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w):
+            want.setdefault((i, w), []).append(at)
+    assert got == {k: (len(v), v) for k, v in want.items()}
+    assert "MapInArrow" in postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_follow_the_input(spark, tmp_path, monkeypatch):
+    spark.range(4000).selectExpr("id AS doc_id", "concat('w', id, ' oak') AS field").write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 2000)
+    assert tables._buckets(df) > 8 > 4 == tables._buckets(spark.createDataFrame([(1, "a")], "doc_id long, field string"))
+    SearchIndex.build(df, IndexSpec(text_fields=("field",))).save(f"{tmp_path}/out")
+    index = SearchIndex.load(spark, f"{tmp_path}/out")
+    assert index.n_docs == match(index, Term("field", "oak")).count() == 4000
